@@ -99,7 +99,8 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
 
 
 def _decided(docs: DataFrame) -> DataFrame:
-    """docs with _sha, _keep, _size and _kept."""
+    """doc_id, text, _row (all columns), _sha, _keep, _size and _kept."""
+    docs = docs.select("doc_id", "text", F.struct("*").alias("_row"))
     fp = F.xxhash64(normalised())
     hot = materialise(repeated_fingerprints(docs.select(fp.alias("_fp")), docs.count()), "fingerprints")
     n = hot.count()
@@ -122,11 +123,11 @@ def classify(docs: DataFrame) -> DataFrame:
     that repeat a doc_id and text share one decision. An empty table gives no rows. Other columns of
     docs are not looked at.
     """
-    return _decided(docs.select("doc_id", "text")).select("doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
+    return _decided(docs).select("doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat a doc_id and text, one."""
-    found = materialise(_decided(docs).where("_kept").select(*docs.columns, "_size"), "kept")
+    found = materialise(_decided(docs).where("_kept").select("doc_id", "text", "_row", "_size"), "kept")
     copies = found.where("_size > 1").dropDuplicates(["doc_id", "text"])
-    return found.where("_size = 1").unionByName(copies).select(*docs.columns)
+    return found.where("_size = 1").unionByName(copies).select("_row.*")

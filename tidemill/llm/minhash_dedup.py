@@ -21,14 +21,14 @@ class Params:
     groups on each side of the tensor, so collections ** 2 tables. rows: minhashes in a group, so a
     table key holds 2 * rows. block_words: words that one block of a candidate component holds about.
 
-    A link of similarity s is missed with at most 2 * (1 - s ** rows) ** collections: at 0.85, 0.0004.
+    A link of similarity s is missed with at most 2 * (1 - s ** rows) ** collections: at 0.85, 0.00003.
     """
 
     words: int = 5
     percent: int = 85
-    collections: int = 9
+    collections: int = 12
     rows: int = 3
-    block_words: int = 1_000_000
+    block_words: int = 200_000
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

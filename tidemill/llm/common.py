@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
-#: A table of at most so many rows, by its own count, may be broadcast.
-BROADCAST_ROWS = 200_000
+SLICE_BYTES = 2 << 20
+#: A written table of at most so many bytes may be broadcast.
+BROADCAST_BYTES = 2 << 20
+#: Settings while a table is written: its shuffle files go at once, since nothing runs its plan again, and batches to Python are small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 #: The bytes that part words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -36,11 +37,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = {k: spark.conf.get(k) for k in WRITING}
+    try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
-    gc.collect()
-    spark._jvm.System.gc()  # lets the cleaner drop the shuffle files that this table replaces
     return out
 
 
@@ -53,9 +59,15 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few enough; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if the files of the materialised table that it selects from are small enough.
+
+    Otherwise df as it is, for a shuffled join.
+    """
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    at = jvm.org.apache.hadoop.fs.Path((written or df)._written_at)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def text_or_empty(c: str = "text") -> Column:
@@ -161,6 +173,14 @@ def run_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * _power(_S_INV, n + 1)[: n - k + 1] + np.uint64(k + salt))
 
 
+def range_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of words[start:end] for each pair; it tells lengths apart."""
+    n = len(words)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(words * _power(_S, n), out=sums[1:])
+    return mix((sums[end] - sums[start]) * _power(_S_INV, n + 1)[start] + (end - start).astype(np.uint64))
+
+
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and offsets without a copy; nulls are empty."""
     if col.null_count:

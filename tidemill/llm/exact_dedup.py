@@ -103,13 +103,12 @@ def _decided(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.struct("*").alias("_row"))
     fp = F.xxhash64(normalised())
     hot = materialise(repeated_fingerprints(docs.select(fp.alias("_fp")), docs.count()), "fingerprints")
-    n = hot.count()
     # Byte verification: rows of a repeated fingerprint are grouped by their very bytes.
-    routed = docs.select("doc_id", F.length(text_or_empty()).alias("_len"), normalised().alias("_norm")).withColumn("_fp", F.xxhash64("_norm")).join(bounded(hot.select(F.col("fp").alias("_fp")), n), "_fp")
+    routed = docs.select("doc_id", F.length(text_or_empty()).alias("_len"), normalised().alias("_norm")).withColumn("_fp", F.xxhash64("_norm")).join(bounded(hot.select(F.col("fp").alias("_fp")), hot), "_fp")
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("_len").alias("len"), (-F.col("doc_id")).alias("neg")))
     groups = routed.groupBy("_norm").agg(F.count("*").alias("_size"), best.alias("_best"))
     groups = materialise(groups.where("_size > 1").select(F.sha2("_norm", 256).alias("_sha"), (-F.col("_best.neg")).alias("_first"), "_size"), "copies")
-    out = docs.withColumn("_sha", F.sha2(normalised(), 256)).join(bounded(groups, n), "_sha", "left")
+    out = docs.withColumn("_sha", F.sha2(normalised(), 256)).join(bounded(groups), "_sha", "left")
     out = out.withColumn("_keep", F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_first"))).drop("_first")
     return out.withColumns({"_size": F.coalesce("_size", F.lit(1)).cast("long"), "_kept": F.col("_keep").eqNullSafe(F.col("doc_id"))})
 

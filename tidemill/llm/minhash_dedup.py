@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, as_long, discard, materialise, slices
+from .common import SPACE_TABLE, Words, as_long, bounded, discard, materialise, slices
 from .components import components
 
 
@@ -238,4 +238,4 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def deduplicate(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents of docs that stay, one of each component, with all their columns."""
     gone = materialise(near_duplicates(docs, p).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)

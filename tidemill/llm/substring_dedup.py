@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, as_long, bounded, discard, materialise, mix, run_hashes, slices
+from .common import SPACE_TABLE, Words, as_long, discard, materialise, mix, range_hashes, run_hashes, slices
 
 #: Words of an anchor, and so k - ANCHOR + 1 anchors to choose a window's from.
 ANCHOR = 4
@@ -45,55 +45,79 @@ def _window_anchors(w: Words, k: int) -> np.ndarray:
     return low >> np.uint64(16)
 
 
-def _anchors(k: int):
+def _cut_by_anchor(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments, the windows in a row that share an anchor: anchor, document, first word and number of windows."""
+    at = np.flatnonzero(w.whole(k))
+    anchor, doc = _window_anchors(w, k)[at], w.doc_of_words()[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    cut = np.flatnonzero(new)
+    return anchor[cut], doc[cut], at[cut], np.diff(np.append(cut, len(at)))
+
+
+def _segments(k: int):
+    """(doc_id, text) -> (anchor, segment, doc_id): segment is a hash of all words of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, buf, off in slices(batches):
             w = Words(buf, off, SPACE_TABLE)
-            if len(w.starts) < k:
-                continue
-            ok = np.flatnonzero(w.whole(k))
-            anchor, doc = _window_anchors(w, k)[ok], w.doc_of_words()[ok]
-            new = np.ones(len(ok), dtype=bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([as_long(anchor[new]), b.column(0).take(pa.array(doc[new]))], names=["anchor", "doc_id"])
+            if len(w.starts) >= k:
+                anchor, doc, start, size = _cut_by_anchor(w, k)
+                yield pa.RecordBatch.from_arrays([as_long(anchor), as_long(range_hashes(w.hashes, start, start + size + k - 1)), b.column(0).take(pa.array(doc))], names=["anchor", "segment", "doc_id"])
 
     return run
 
 
-def _edges(k: int):
-    """Rows (doc_id, text, part, anchors) -> one row per window with such an anchor: its two hashes, place and neighbour words."""
+def _units(k: int):
+    """(doc_id, text, part, anchors) -> the units of segments with such anchors: where they are, and what is beside them.
+
+    anchors are doubled, plus one where the anchor is mixed. Equal windows have equal anchors. So if
+    all segments of an anchor are the same words, its windows occur nowhere else and the segment is a
+    nonbranching path as it stands, one unit of n edges; the edges of a mixed anchor are a unit each.
+    before and after are hashes of the edge or word beside the unit, 0 at an end of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, buf, off in slices(batches):
             w = Words(buf, off, SPACE_TABLE)
             if len(w.starts) < k:
                 continue
-            doc_of = w.doc_of_words()
-            ok = np.flatnonzero(w.whole(k))
-            anchor, doc = _window_anchors(w, k)[ok], doc_of[ok]
+            anchor, doc, start, size = _cut_by_anchor(w, k)
             listed = b.column(3)
-            lists = listed.flatten().to_numpy().view(np.uint64)
             owner = np.repeat(np.arange(len(listed), dtype=np.uint64), np.diff(listed.offsets.to_numpy()))
+            values = listed.flatten().to_numpy().view(np.uint64)
             salted = lambda a, d: mix(a * np.uint64(0x9E3779B97F4A7C15) + d.astype(np.uint64))
-            own = np.sort(salted(lists, owner))
-            want = salted(anchor, doc)
-            if not len(own):
+            known = salted(values >> np.uint64(1), owner)
+            order = np.argsort(known)
+            known, values = known[order], values[order]
+            if not len(known) or not len(anchor):
                 continue
-            found = own[np.minimum(np.searchsorted(own, want), len(own) - 1)] == want
-            ok, doc = ok[found], doc[found]
-            if not len(doc):
+            want = salted(anchor, doc)
+            at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+            keep = known[at] == want
+            if not keep.any():
                 continue
+            doc, start, size, mixed = doc[keep], start[keep], size[keep], (values[at[keep]] & np.uint64(1)).astype(bool)
             h = w.hashes
-            small = (h >> np.uint64(33)).astype(np.int64) + 1
-            first, last = w.doc_at[doc], w.doc_at[doc + 1]
-            before = np.where(ok > first, small[np.maximum(ok - 1, 0)], 0)
-            after = np.where(ok + k < last, small[np.minimum(ok + k, len(h) - 1)], 0)
-            part = b.column(2).to_numpy()[doc]
-            check = (run_hashes(h, k, salt=2)[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [as_long(run_hashes(h, k)[ok]), pa.array(check), b.column(0).take(pa.array(doc)), as_long(ok - first + part * PART), pa.array(before.astype(np.uint32).view(np.int32)), pa.array(after.astype(np.uint32).view(np.int32))],
-                names=["edge", "check", "doc_id", "place", "before", "after"],
-            )
+            salt = mix(h + np.uint64(0x632BE59BD9B4E019))
+            word = (h >> np.uint64(1)) + np.uint64(1)
+            edge = run_hashes(h, k)
+            pieces = []
+            if not mixed.all():
+                d, s, n = doc[~mixed], start[~mixed], size[~mixed]
+                pieces.append((d, s, n, range_hashes(h, s, s + n + k - 1), range_hashes(salt, s, s + n + k - 1), np.ones(len(d), bool), np.ones(len(d), bool)))
+            if mixed.any():
+                n = size[mixed]
+                s = np.repeat(start[mixed] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                d = np.repeat(doc[mixed], n)
+                pieces.append((d, s, np.ones(len(s), dtype=np.int64), edge[s], range_hashes(salt, s, s + k), s == np.repeat(start[mixed], n), s == np.repeat(start[mixed] + n - 1, n)))
+            d, s, n, unit, check, opens, closes = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            end = s + n + k - 1
+            before = np.where(opens, np.where(s > w.doc_at[d], word[np.maximum(s - 1, 0)], np.uint64(0)), edge[np.minimum(np.maximum(s - 1, 0), len(edge) - 1)])
+            after = np.where(closes, np.where(end < w.doc_at[d + 1], word[np.minimum(end, len(h) - 1)], np.uint64(0)), edge[np.minimum(s + 1, len(edge) - 1)])
+            place = s - w.doc_at[d] + b.column(2).to_numpy()[d] * PART
+            small = pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([as_long(unit), small, b.column(0).take(pa.array(d)), as_long(place), pa.array(n.astype(np.int32)), as_long(before), as_long(after)], names=["unit", "check", "doc_id", "place", "n", "before", "after"])
 
     return run
 
@@ -104,30 +128,31 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     A span is n_edges consecutive windows, so n_edges + k - 1 words. docs has doc_id, text and part.
     """
     known = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "part")
-    at = known.select("doc_id", "text").mapInArrow(_anchors(k), "anchor long, doc_id long")
-    shared = at.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    marked = materialise(at.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    at = known.select("doc_id", "text").mapInArrow(_segments(k), "anchor long, segment long, doc_id long")
+    span = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("segment").alias("s0"), F.max("segment").alias("s1")]
+    shared = at.groupBy("anchor").agg(*span).where("low < high").select("anchor", (F.col("anchor") * 2 + (F.col("s0") < F.col("s1")).cast("long")).alias("marked"))
+    marked = materialise(at.select("anchor", "doc_id").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("marked").alias("anchors")), "anchors")
 
     rows = known.join(marked, "doc_id").select("doc_id", "text", "part", "anchors")
-    edges = materialise(rows.mapInArrow(_edges(k), "edge long, check int, doc_id long, place long, before int, after int"), "edges")
+    units = materialise(rows.mapInArrow(_units(k), "unit long, check int, doc_id long, place long, n int, before long, after long"), "units")
     discard(marked)
 
-    same = [F.min("doc_id").alias("source_id"), F.max("doc_id").alias("high"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")]
-    repeated = edges.groupBy("edge", "check").agg(*same).where("source_id < high")
-    repeated = repeated.select("edge", "check", "source_id", (F.col("b0") == F.col("b1")).alias("one_in"), (F.col("a0") == F.col("a1")).alias("one_out"))
-    own = edges.select("edge", "check", "doc_id", "place").join(repeated, ["edge", "check"]).where("doc_id = source_id")
-    own = own.groupBy("edge", "check", "source_id", "one_in", "one_out").agg(F.min("place").alias("source_place"))
-    # Paths: an edge continues the one before it in the source if the node between them does not branch.
+    key = ["unit", "check"]
+    found = [F.min("doc_id").alias("source_id"), F.min_by("place", "doc_id").alias("source_place"), F.max("doc_id").alias("high"), F.max("n").alias("n"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")]
+    own = units.groupBy(*key).agg(*found).where("source_id < high")
+    own = materialise(own.select(*key, "source_id", "source_place", "n", (F.col("b0") == F.col("b1")).alias("one_in"), (F.col("a0") == F.col("a1")).alias("one_out")), "sources")
+    # Paths: a unit goes on from the one that ends where it starts in the source, if the node between them does not branch.
+    ahead = own.where("one_out").select("source_id", (F.col("source_place") + F.col("n")).alias("source_place"), F.lit(True).alias("joins"))
+    linked = own.join(ahead, ["source_id", "source_place"], "left").withColumn("head", ~(F.col("one_in") & F.coalesce("joins", F.lit(False))))
     line = Window.partitionBy("source_id").orderBy("source_place")
-    joined = (F.col("source_place") == F.lag("source_place").over(line) + 1) & F.col("one_in") & F.lag("one_out").over(line)
-    own = own.withColumn("head", ~F.coalesce(joined, F.lit(False)))
-    own = own.withColumn("path", F.sum(F.col("head").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    paths = own.withColumn("n_edges", F.count("*").over(Window.partitionBy("source_id", "path"))).where("head")
-    paths = materialise(paths.select("edge", "check", "source_id", "source_place", "n_edges"), "paths")
-    spans = edges.select("edge", "check", "doc_id", "place").join(paths, ["edge", "check"]).where("doc_id > source_id")
+    linked = linked.withColumn("path", F.sum(F.col("head").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    paths = linked.withColumn("n_edges", F.sum("n").over(Window.partitionBy("source_id", "path"))).where("head")
+    paths = materialise(paths.select(*key, "source_id", "source_place", "n_edges"), "paths")
+    discard(own)
+    spans = units.select(*key, "doc_id", "place").join(paths, key).where("doc_id > source_id")
     spans = spans.select("doc_id", F.floor(F.col("place") / PART).cast("long").alias("part"), F.pmod("place", F.lit(PART)).alias("start"), "n_edges", "source_id", "source_place")
     spans = materialise(spans, "spans")
-    discard(edges)
+    discard(units)
     discard(paths)
     return spans
 
@@ -169,5 +194,5 @@ def remove_repeats(docs: DataFrame, k: int = 13, texts: bool = True) -> DataFram
     spans = repeated_spans(docs, k)
     cuts = materialise(spans.groupBy("doc_id", "part").agg(F.collect_set(F.struct("start", "n_edges")).alias("cuts")), "cuts")
     discard(spans)
-    rows = docs.join(bounded(cuts, cuts.count()), ["doc_id", "part"], "left").select("doc_id", "text", "cuts")
+    rows = docs.join(cuts, ["doc_id", "part"], "left").select("doc_id", "text", "cuts")
     return rows.mapInArrow(_cut(k, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

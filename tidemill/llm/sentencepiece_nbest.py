@@ -241,13 +241,13 @@ class Batch:
         node = np.repeat(base, n) + rel
         room = np.repeat(n, n) - rel
         lead = self.buf[at] & 0xC0 != 0x80
-        at, node, room, rel = at[lead], node[lead], room[lead], rel[lead]
+        at, node, room, rel = (x[lead].astype(np.int32) for x in (at, node, room, rel))
         b = self.buf[at]
         width = np.where(b < 0x80, 1, np.where(b < 0xE0, 2, np.where(b < 0xF0, 3, 4)))
         width = np.minimum(width, room)
         single = np.zeros(len(at), dtype=bool)
         found = []
-        live = np.arange(len(at))
+        live = np.arange(len(at), dtype=np.int32)
         for size in range(1, enc.longest + 1):
             live = live[room[live] >= size]
             if not len(live):
@@ -256,11 +256,11 @@ class Batch:
             place = enc._find(mix((sums[i + size] - sums[i]) * back[i] + np.uint64(size)))
             ids = np.where(place >= 0, enc.ids[place], -2)
             hit = ids >= 0
-            found.append((live[hit], np.full(hit.sum(), size), ids[hit], enc.scores[ids[hit]]))
+            found.append((live[hit], np.full(hit.sum(), size, dtype=np.int16), ids[hit], enc.scores[ids[hit]]))
             single[live[hit]] |= width[live[hit]] == size
             live = live[(place >= 0) & (enc.longer[place] | (width[live] > size))] if size < 4 else live[(place >= 0) & enc.longer[place]]
-        alone = np.flatnonzero(~single)
-        found.append((alone, width[alone], np.full(len(alone), -1), np.full(len(alone), enc.unknown)))
+        alone = np.flatnonzero(~single).astype(np.int32)
+        found.append((alone, width[alone].astype(np.int16), np.full(len(alone), -1, dtype=np.int32), np.full(len(alone), enc.unknown)))
         p, size, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort((rel[p] * 64 + size).astype(np.int16), kind="stable")
         p, size, ids, score = p[order], size[order], ids[order], score[order]
@@ -377,7 +377,7 @@ def encode(docs: DataFrame, model: str | None = None, n: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load(model or default_model())
-        for b, buf, off in slices(batches, most=2 << 20):
+        for b, buf, off in slices(batches, most=1 << 19):
             found = enc.encode_batch(buf, off)
             at = found.token_at
             scores, digest, same = [], [], []

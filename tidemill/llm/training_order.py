@@ -13,10 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shared_dir, text_or_empty
+from .common import discard, materialise, shared_dir, slices, text_or_empty
 
 #: A record is this head (document, part, tokens) and the tokens, little-endian.
 HEAD = "<qii"
@@ -24,13 +25,17 @@ HEAD_BYTES = struct.calcsize(HEAD)
 NO_DOC = -(1 << 63)
 
 
+#: Rows of a chunk, about, and sequences that a task scatters to shards at once.
+CHUNK_ROWS, BLOCK = 5_000, 32_768
+
+
 @dataclass(frozen=True)
 class Params:
     """length: tokens of a sequence. key: of the order. shard: sequences of a shard file. end, fill: token ids after a text and after a sequence's last token."""
 
     length: int = 256
     key: str = "epoch-0"
-    shard: int = 16_384
+    shard: int = 8_192
     end: int = 50_256
     fill: int = 50_256
 
@@ -124,124 +129,149 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1)
 
 
-def sequence_starts(docs: DataFrame, p: Params, ranks: str | None) -> DataFrame:
-    """(doc_id, twin, first): the global number of each text's first sequence, in order of doc_id and twin.
+def tokenised(docs: DataFrame, p: Params, ranks: str | None) -> DataFrame:
+    """(doc_id, chunk, start, n, packed): each text's ids, packed, with the number of its first sequence within its chunk.
 
-    Counts are sorted by range partitions; only one sum per partition goes through the driver.
+    A chunk is a hash class of doc_ids, their number set by the number of rows; in it texts stand by doc_id and twin.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load(ranks or default_ranks())
+    rows = docs.count()
+    chunks = max(8, -(-rows // CHUNK_ROWS))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, press = load(ranks or default_ranks()), zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            for b, _, _ in slices([whole]):
+                own = [np.array([*tokens(enc, t), p.end], dtype="<u2") for t in b.column(0).to_pylist()]
+                packed = [press.compress(x.tobytes()) for x in own]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (1, 2, 3)), pa.array([len(x) for x in own], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "twin", "chunk", "n", "packed"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, start = None, 0
         for b in batches:
-            n = [-(-(len(tokens(enc, t)) + 1) // p.length) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "twin", "n"])
-
-    counts = materialise(docs.select("doc_id", "twin", "text").mapInArrow(count, "doc_id long, twin int, n long"), "counts")
-    parts = max(1, counts.rdd.getNumPartitions())
-    ordered = counts.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "twin").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "twin").withColumn("chunk", F.spark_partition_id())
-    ordered = materialise(ordered, "ordered")
-    discard(counts)
-    sums = {r["chunk"]: r["n"] for r in ordered.groupBy("chunk").agg(F.sum("n").alias("n")).collect()}
-    first, start = 0, {}
-    for k in sorted(sums):
-        start[k] = first
-        first += sums[k]
-    before = docs.sparkSession.createDataFrame(list(start.items()) or [(0, 0)], "chunk int, base long")
-    line = Window.partitionBy("chunk").orderBy(F.col("doc_id").asc_nulls_first(), "twin").rowsBetween(Window.unboundedPreceding, -1)
-    out = ordered.join(F.broadcast(before), "chunk").withColumn("first", F.col("base") + F.coalesce(F.sum("n").over(line), F.lit(0)))
-    out = materialise(out.select("doc_id", "twin", "first"), "starts")
-    discard(ordered)
-    out._total = first
-    return out
+            starts = []
+            for c, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                chunk, start = c, start if c == chunk else 0
+                starts.append(start)
+                start += -(-n // p.length)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(starts, pa.int64()), b.column(3), b.column(4)], names=["doc_id", "chunk", "start", "n", "packed"])
+
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    own = docs.select("text", "doc_id", "twin", chunk.alias("chunk")).mapInArrow(encode, "doc_id long, twin int, chunk int, n long, packed binary")
+    spread = own.repartition("chunk").sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_first(), "twin")
+    return materialise(spread.mapInArrow(place, "doc_id long, chunk int, start long, n long, packed binary"), "tokens")
 
 
 def write_shards(docs: DataFrame, out_dir: str | None = None, p: Params = Params(), ranks: str | None = None) -> DataFrame:
-    """Write every text's tokens as shards and return (doc_id, part, slot, shard, offset, n_tokens, crc32), one row per sequence.
+    """Write every text's tokens as shards and return (doc_id, part, slot, shard, offset, n_tokens, crc32, path), one row per sequence.
 
     A text's tokens, with one end token, are cut into sequences of p.length. All sequences are numbered by
-    doc_id (nulls first; rows that repeat one by text) and part, and a keyed permutation of those numbers gives
+    chunk (a hash class of doc_ids), doc_id (nulls first; rows that repeat one by text) and part, and a keyed permutation of those numbers gives
     each its slot. Shard k has the slots from k * p.shard on, in order, in records of p.stride bytes: slot s
     is at (s % p.shard) * p.stride. So a reader can resume at any slot, and a lost or repeated task
     writes the same bytes: files are written beside their place and then moved there. Null and empty texts
     are one sequence of the end token. An empty table writes no shard.
 
     out_dir: a folder that all executors share, as a URI that pyarrow can write; by default a new one in the shared folder.
-    The column path names it. Other columns of docs are not looked at.
+    The column path names it. Other columns of docs are not looked at. Texts are encoded once; what goes between
+    stages is compressed, and each stage's input goes when its output is written. Only one sum per chunk goes through the driver.
     """
     out_dir = out_dir or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    docs = _numbered(docs)
-    starts = sequence_starts(docs, p, ranks)
-    order = Permutation(starts._total, p.key)
-    numbered = docs.join(starts.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")) & (docs["twin"] == starts["twin"])).select("doc_id", "text", "first")
+    found = tokenised(_numbered(docs), p, ranks)
+    sums = {r["chunk"]: r["n"] for r in found.groupBy("chunk").agg(F.sum(F.ceil(F.col("n") / p.length)).alias("n")).collect()}
+    total, base = 0, {}
+    for k in sorted(sums):
+        base[k] = total
+        total += sums[k]
+    order = Permutation(total, p.key)
+    sent = docs.sparkSession.sparkContext.broadcast((base, order))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load(ranks or default_ranks())
+        base, order = sent.value
+        unpress = zstandard.ZstdDecompressor()
+        number, records = [], []
         for b in batches:
-            ids, part, number, records = [], [], [], []
-            for doc_id, text, first in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                own = np.array([*tokens(enc, text), p.end], dtype="<u2")
-                for k in range(0, len(own), p.length):
+            for doc_id, chunk, start, n, packed in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                own = np.frombuffer(unpress.decompress(packed, max_output_size=2 * n), dtype="<u2")
+                for k in range(0, n, p.length):
                     now = own[k : k + p.length]
                     fill = np.full(p.length - len(now), p.fill, dtype="<u2")
                     records.append(struct.pack(HEAD, NO_DOC if doc_id is None else doc_id, k // p.length, len(now)) + now.tobytes() + fill.tobytes())
-                    number.append(first + k // p.length)
-                    if len(records) >= 4096:
-                        yield _records(number, records, order, p)
-                        number, records = [], []
-            if records:
-                yield _records(number, records, order, p)
-
-    shards = max(1, -(-starts._total // p.shard))
-    rows = numbered.mapInArrow(cut, "shard int, slot long, record binary")
-    # A shard is one hash partition's run of rows: a key for each shard, none larger than p.shard rows.
-    spread = rows.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot")
+                    number.append(base[chunk] + start + k // p.length)
+                if len(records) >= BLOCK:
+                    yield _blocks(number, records, order, p)
+                    number, records = [], []
+        if records:
+            yield _blocks(number, records, order, p)
+
+    shards = max(1, -(-total // p.shard))
+    blocks = found.mapInArrow(cut, "shard int, slots binary, packed binary").repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        now, slots, records = None, [], []
+
+        def whole():
+            slot, data = np.concatenate(slots), np.concatenate(records)
+            rank = np.argsort(slot)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(slot)], pa.int64()), pa.array([press.compress(data[rank].tobytes())], pa.binary())], names=["shard", "n", "packed"])
+
+        for b in batches:
+            for shard, s, packed in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if shard != now and slots:
+                    yield whole()
+                    slots, records = [], []
+                now = shard
+                slots.append(np.frombuffer(s, dtype=np.int64))
+                records.append(np.frombuffer(unpress.decompress(packed, max_output_size=len(slots[-1]) * p.stride), dtype=np.uint8).reshape(-1, p.stride))
+        if slots:
+            yield whole()
+
+    packed = materialise(blocks.mapInArrow(gather, "shard int, n long, packed binary"), "packed-shards")
+    discard(found)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         where, root = fs.FileSystem.from_uri(out_dir)
         where.create_dir(root, recursive=True)
-        now, sink, part = None, None, ""
-
-        def close():
-            sink.close()
-            where.move(part, f"{root}/shard-{now:08d}.bin")
-
+        unpress = zstandard.ZstdDecompressor()
         for b in batches:
-            shard = b.column(0).to_numpy()
-            for k in np.unique(shard):
-                own = b.filter(pa.array(shard == k))
-                if k != now:
-                    if sink is not None:
-                        close()
-                    now, part = int(k), f"{root}/.{int(k):08d}-{uuid.uuid4().hex}"
-                    sink = where.open_output_stream(part)
-                records = own.column(2).to_pylist()
-                sink.write(b"".join(records))
-                heads = [struct.unpack_from(HEAD, r) for r in records]
-                slot = own.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None if h[0] == NO_DOC else h[0] for h in heads], pa.int64()),
-                        pa.array([h[1] for h in heads], pa.int64()),
-                        own.column(1),
-                        own.column(0),
-                        pa.array((slot % p.shard) * p.stride),
-                        pa.array([h[2] for h in heads], pa.int32()),
-                        pa.array([zlib.crc32(r) for r in records], pa.int64()),
-                    ],
-                    names=["doc_id", "part", "slot", "shard", "offset", "n_tokens", "crc32"],
-                )
-        if sink is not None:
-            close()
-
-    out = spread.mapInArrow(write, "doc_id long, part long, slot long, shard int, offset long, n_tokens int, crc32 long")
+            for shard, n, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                data = unpress.decompress(own, max_output_size=n * p.stride)
+                part = f"{root}/.{shard:08d}-{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as f:
+                    f.write(data)
+                where.move(part, f"{root}/shard-{shard:08d}.bin")
+                at = np.arange(n) * p.stride
+                heads = [struct.unpack_from(HEAD, data, k) for k in at]
+                cols = [
+                    pa.array([None if h[0] == NO_DOC else h[0] for h in heads], pa.int64()),
+                    pa.array([h[1] for h in heads], pa.int64()),
+                    pa.array(shard * p.shard + np.arange(n)),
+                    pa.array(np.full(n, shard, dtype=np.int32)),
+                    pa.array(at),
+                    pa.array([h[2] for h in heads], pa.int32()),
+                    pa.array([zlib.crc32(data[k : k + p.stride]) for k in at], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "slot", "shard", "offset", "n_tokens", "crc32"])
+
+    out = packed.mapInArrow(write, "doc_id long, part long, slot long, shard int, offset long, n_tokens int, crc32 long")
     return out.withColumn("path", F.lit(out_dir))
 
 
-def _records(number: list[int], records: list[bytes], order: Permutation, p: Params) -> pa.RecordBatch:
+def _blocks(number: list[int], records: list[bytes], order: Permutation, p: Params) -> pa.RecordBatch:
+    """One compressed block for each shard that some of the records belong to."""
+    press = zstandard.ZstdCompressor(level=1)
     slot = order.slot(np.array(number, dtype=np.int64))
-    return pa.RecordBatch.from_arrays([pa.array((slot // p.shard).astype(np.int32)), pa.array(slot), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
+    rank = np.argsort(slot, kind="stable")
+    slot = slot[rank]
+    cuts = np.flatnonzero(np.concatenate([[True], slot[1:] // p.shard != slot[:-1] // p.shard]))
+    shard, slots, packed = [], [], []
+    for a, z in zip(cuts, np.append(cuts[1:], len(slot)), strict=True):
+        shard.append(int(slot[a] // p.shard))
+        slots.append(slot[a:z].tobytes())
+        packed.append(press.compress(b"".join(records[k] for k in rank[a:z])))
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(slots, pa.binary()), pa.array(packed, pa.binary())], names=["shard", "slots", "packed"])
 
 
 def read_from(out_dir: str, slot: int, p: Params = Params()) -> Iterator[tuple[int, int | None, int, np.ndarray]]:

@@ -14,7 +14,7 @@ from ..functions.text import collapse
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """W04, J04, U05, U06. The first row of each key in the order."""
     w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return df.withColumn("_nth_of_key", F.row_number().over(w)).where("_nth_of_key = 1").drop("_nth_of_key")
 
 
 def per_key(df: DataFrame, key: list[str], order: list[Column], k: int) -> DataFrame:

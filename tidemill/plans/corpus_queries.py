@@ -1,7 +1,159 @@
-"""Queries: corpus."""
+"""Queries of text, terms and scripts."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing, text
+from ..operators import corpus as C
+from ..operators import lifecycle as D
+from ..sources.tables import table
 from .registry import Catalogue
 
 CATALOGUE = Catalogue()
+query = CATALOGUE.query
+c = F.col
+
+DICTIONARY = ["der", "die", "que", "pour", "with", "that"]
+STOPWORDS = ["the", "of", "and", "de", "la"]
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, creator, community, family, language, day, observed_at and text of documents."""
+    i = c("doc_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 35).cast("int"))
+    return table(spark, sf_dir, "documents").select(i.alias("doc"), c("source").alias("cluster"), c("source").alias("creator"), (i % 7).alias("community"), c("lang").alias("family"), c("lang").alias("language"), day.alias("day"), day.cast("timestamp").alias("observed_at"), "text")
+
+
+#: The words of T02: letters and digits, marks, quotes, dots and hyphens.
+WORDS = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}''’.-]*"
+TERMS = f"""terms AS (SELECT doc_id AS doc, source AS creator, doc_id % 7 AS community, lang AS language, DATE '2024-01-01' + CAST(doc_id % 35 AS INTEGER) AS day, unnest(list_distinct(regexp_extract_all(lower(text), '{WORDS}'))) AS term FROM documents)"""
+
+
+def _sql(*parts: str, query: str) -> str:
+    return f"WITH {', '.join(parts)}\n{query}"
+
+
+@query(_sql(TERMS, "day AS (SELECT term, max(n) AS peak, count(*) AS active_days FROM (SELECT term, day, count(*) AS n FROM terms GROUP BY 1, 2) GROUP BY 1)",
+    "g AS (SELECT term AS span, count(*) AS frequency, count(DISTINCT creator) AS clusters, count(DISTINCT doc) AS documents, count(DISTINCT language) AS languages FROM terms GROUP BY 1)",
+    "h AS (SELECT g.*, active_days, floor(peak / CAST(frequency AS DOUBLE) * 1e6 + 0.5) / 1e6 AS burst, floor(least(30, active_days) / 30.0 * 1e6 + 0.5) / 1e6 AS stability, 1 - clusters / CAST(frequency AS DOUBLE) AS spread FROM g JOIN day ON term = span)", query="""
+SELECT span, frequency, clusters, documents, languages, active_days, burst, stability, floor(greatest(0, spread) * 1e6 + 0.5) / 1e6 AS anomaly, CASE WHEN length(trim(span)) < 3 THEN 'REJECTED' WHEN span IN ('der', 'die', 'que', 'pour', 'with', 'that') AND clusters >= 2 THEN 'ACCEPTED' ELSE 'AMBIGUOUS' END AS decision,
+concat_ws(',', CASE WHEN spread >= 0.5 THEN 'CORRELATED_SOURCES' END, CASE WHEN frequency >= 3 AND burst >= 0.8 THEN 'TEMPORAL_BURST' END) AS flags FROM h"""))
+def q16_candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.tokens(_documents(spark, sf_dir)).withColumnRenamed("term", "span")
+    return C.candidate_features(rows, DICTIONARY)
+
+
+@query()
+def q17_ngram_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 1- to 5-gram with code-point offsets. Unicode forms, so no SQL."""
+    return text.spans(table(spark, sf_dir, "documents"))
+
+
+@query(f"""SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM documents)) GROUP BY gram HAVING count(DISTINCT doc_id) >= 2""")
+def q17b_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", text.words(F.lower("text")).alias("w"))
+    g = d.select("doc_id", F.explode(text.ngrams("w", 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return g.where("docs >= 2")
+
+
+@query(_sql(TERMS, query="SELECT term, count(DISTINCT creator) AS creators, count(DISTINCT doc) AS documents, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM terms GROUP BY term HAVING count(DISTINCT creator) >= 2 AND count(DISTINCT doc) >= 2"))
+def q18_corpus_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.hypotheses(C.tokens(_documents(spark, sf_dir)))
+
+
+@query(_sql(TERMS, query=r"""SELECT term, creators, communities, families, documents, round(2 * creators + communities + families + least(3.0, documents / 5.0), 6) AS score, CASE WHEN families >= 2 AND creators >= 2 THEN 'VALIDATED' ELSE 'CANDIDATE' END AS lifecycle FROM (
+SELECT term, count(DISTINCT creator) AS creators, count(DISTINCT community) AS communities, count(DISTINCT language) AS families, count(DISTINCT doc) AS documents FROM terms WHERE length(term) BETWEEN 2 AND 40 AND term NOT IN ('the', 'of', 'and', 'de', 'la') AND NOT regexp_full_match(term, '\d+') GROUP BY term)"""))
+def q18b_candidate_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.mine(C.tokens(_documents(spark, sf_dir)), STOPWORDS)
+
+
+@query(_sql(TERMS, query="""SELECT term, current, baseline, current >= 3 AND current / CAST(greatest(1, baseline) AS DOUBLE) >= 2 AS burst FROM (SELECT term, count(DISTINCT creator) FILTER (day > DATE '2024-01-27' AND day <= DATE '2024-02-03') AS current, count(DISTINCT creator) FILTER (day > DATE '2023-12-30' AND day <= DATE '2024-01-27') AS baseline FROM terms GROUP BY term)"""))
+def q19_terminology_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.tokens(_documents(spark, sf_dir)).withColumn("source", c("creator"))
+    return C.term_burst(rows, "2024-02-03", 7, 28)
+
+
+LIFE = """CASE WHEN executions >= 5 AND term_yield < 0.08 THEN 'DEMOTED' WHEN is_brand THEN CASE WHEN evidence >= 1 THEN 'OBSERVED' ELSE 'CANDIDATE' END WHEN executions >= 3 AND term_yield >= 0.28 THEN 'PROVEN' WHEN creators >= 3 AND communities >= 2 AND evidence >= 5 THEN 'SEARCH_TRIAL' WHEN creators >= 3 AND communities >= 2 THEN 'MULTI_CREATOR_VALIDATED' WHEN evidence >= 1 THEN 'OBSERVED' ELSE 'CANDIDATE' END"""
+
+
+@query(_sql(TERMS, f"""g AS (SELECT term, round(sum(CASE WHEN doc % 5 = 0 THEN 2.5 WHEN doc % 5 = 1 THEN 1.25 ELSE 1.0 END * pow(0.5, date_diff('day', day, DATE '2024-03-01') / 90.0)), 9) AS decayed, count(DISTINCT creator) AS creators, count(DISTINCT community) AS communities, count(*) AS evidence, sum(doc % 3) AS executions,
+round(CASE WHEN sum(doc % 3) = 0 THEN 0 ELSE sum(doc % 10 / 20.0 * (doc % 3)) / sum(doc % 3) END, 9) AS term_yield, max(length(term) = 9) AS is_brand FROM terms GROUP BY term)""", f"s AS (SELECT *, {LIFE} AS state FROM g)", query="SELECT *, state IN ('PROVEN', 'SEARCH_TRIAL') AS eligible FROM s"))
+def q20_term_decay_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.tokens(_documents(spark, sf_dir)).withColumns({"executions": c("doc") % 3, "term_yield": c("doc") % 10 / 20.0, "is_brand": F.length("term") == 9})
+    weight = F.when(c("doc") % 5 == 0, 2.5).when(c("doc") % 5 == 1, 1.25).otherwise(1.0)
+    return C.term_evidence(rows, F.datediff(F.lit("2024-03-01").cast("date"), c("day")), weight)
+
+
+@query(r"""SELECT kind, script, switched, count(*) AS n FROM (SELECT kind, CASE WHEN regexp_matches(t, '\p{Han}') THEN 'Hani' WHEN regexp_matches(t, '\p{Katakana}|\p{Hiragana}') THEN 'Jpan' WHEN regexp_matches(t, '\p{Cyrillic}') THEN 'Cyrl' WHEN regexp_matches(t, '\p{Arabic}') THEN 'Arab' WHEN regexp_matches(t, '\p{Latin}') THEN 'Latn' ELSE 'Zyyy' END AS script,
+regexp_matches(t, '\p{Latin}') AND regexp_matches(t, '\p{Han}|\p{Katakana}|\p{Hiragana}|\p{Hangul}|\p{Cyrillic}|\p{Arabic}') AS switched FROM (SELECT 'doc' AS kind, text AS t FROM documents UNION ALL SELECT 'turn', CASE WHEN turn % 5 = 0 THEN 'Привет ' || substr(text, 1, 5) WHEN turn % 5 = 1 THEN '12:30' ELSE text END FROM conversations)) GROUP BY 1, 2, 3""")
+def q21_script_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.when(c("turn") % 5 == 0, F.concat(F.lit("Привет "), F.substring("text", 1, 5))).when(c("turn") % 5 == 1, "12:30").otherwise(c("text")).alias("t"))
+    rows = table(spark, sf_dir, "documents").select(F.lit("doc").alias("kind"), c("text").alias("t")).unionByName(turns)
+    return rows.groupBy("kind", text.script("t").alias("script"), text.code_switched("t").alias("switched")).agg(F.count("*").alias("n"))
+
+
+B = lambda *w: "(?<![A-Za-z0-9_])(?:" + "|".join(w) + ")(?![A-Za-z0-9_])"
+HAS = lambda *w: "regexp_matches(low, '(^|[^a-z0-9_])(" + "|".join(w) + ")([^a-z0-9_]|$)')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'NOT_APPLICABLE' WHEN doc_id % 11 = 0 THEN 'WITHHOLD' WHEN hard THEN 'WITHHOLD' WHEN high THEN 'PLAUSIBLE' WHEN CAST(m1 AS INT) + CAST(m2 AS INT) >= 2 AND NOT soft THEN 'PLAUSIBLE' WHEN m1 OR m2 OR soft THEN 'WITHHOLD' ELSE 'WITHHOLD' END AS disposition,
+CASE WHEN doc_id % 13 = 0 THEN 'NON_INITIAL_RESULT' WHEN doc_id % 11 = 0 THEN 'STALE_DOCUMENT' WHEN hard AND high THEN 'CONFLICTING_DOMAINS' WHEN hard THEN 'EXPLICIT_OTHER_DOMAIN' WHEN high THEN 'HIGH_SPECIFICITY_SIGNAL' WHEN CAST(m1 AS INT) + CAST(m2 AS INT) >= 2 AND NOT soft THEN 'CORROBORATED_MARKET_CONTEXT' WHEN m1 OR m2 OR soft THEN 'AMBIGUOUS_CONTEXT' ELSE 'NO_EXPLICIT_SIGNAL' END AS reason
+FROM (SELECT doc_id, {HAS('ering', 'stand')} AS high, {HAS('der', 'die')} AS m1, {HAS('que', 'las')} AS m2, {HAS('idiot', 'clown')} AS hard, {HAS('was')} AS soft FROM (SELECT doc_id, lower(text) AS low FROM documents))""")
+def q22_triage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lower("text")
+    d = table(spark, sf_dir, "documents").select("doc_id", text.signals(low, {"H": B("ering", "stand")}).alias("high"), text.signals(low, {"M1": B("der", "die"), "M2": B("que", "las")}).alias("market"), text.signals(low, {"X": B("idiot", "clown")}).alias("hard"), text.signals(low, {"S": B("was")}).alias("soft"))
+    out = D.triage(c("high"), c("market"), c("hard"), c("soft"), c("doc_id") % 11 == 0, c("doc_id") % 13 != 0, F.lit(False))
+    return d.select("doc_id", out.alias("t")).select("doc_id", "t.disposition", "t.reason")
+
+
+@query("""SELECT text_len, shaped, count(*) AS n FROM (SELECT least(50, length(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))) AS text_len, length(trim(p_name)) BETWEEN 2 AND 40 AND len(string_split(trim(p_name), ' ')) <= 3 AND NOT regexp_matches(p_name, '(?i)\\b(please|how to|what is|find me)\\b') AS shaped FROM part) GROUP BY 1, 2""")
+def q22b_retrieval_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P09."""
+    p = table(spark, sf_dir, "part")
+    return p.groupBy(F.least(F.lit(50), F.length(F.trim(F.regexp_replace("p_name", r"\s+", " ")))).alias("text_len"), text.retrieval_shaped("p_name").alias("shaped")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, lower(trim(p_brand)) || '|' || lower(trim(p_type)) || '|' || CASE WHEN p_size % 3 = 0 THEN 'none' ELSE CAST(p_size AS VARCHAR) END AS key, sha256(lower(trim(p_brand)) || '|' || lower(trim(p_type)) || '|' || CASE WHEN p_size % 3 = 0 THEN 'none' ELSE CAST(p_size AS VARCHAR) END) AS checksum FROM part""")
+def q22c_neighborhood_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T26, L27."""
+    p = table(spark, sf_dir, "part").withColumn("size", F.when(c("p_size") % 3 != 0, c("p_size")))
+    key = hashing.key_of("p_brand", "p_type", "size")
+    return p.select("p_partkey", key.alias("key"), F.sha2(key, 256).alias("checksum"))
+
+
+@query("""SELECT language, pack, term, count(*) AS n FROM (SELECT doc_id, lang AS language, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{M}''’.-]*'))) AS term FROM documents) JOIN (SELECT * FROM (VALUES ('en', 'that', 'core'), ('en', 'with', 'core'), ('de', 'die', 'core'), ('fr', 'pour', 'extra')) v(language, term, pack)) USING (language, term) GROUP BY 1, 2, 3""")
+def q22d_language_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T33."""
+    packs = spark.createDataFrame([("en", "that", "core"), ("en", "with", "core"), ("de", "die", "core"), ("fr", "pour", "extra")], "language string, term string, pack string")
+    d = table(spark, sf_dir, "documents").select("doc_id", c("lang").alias("language"), "text")
+    return C.language_packs(d, packs).groupBy("language", "pack", "term").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, field, text, sha256(text) AS checksum FROM (SELECT p_partkey, 'p_name' AS field, p_name AS text FROM part UNION ALL SELECT p_partkey, 'p_brand', p_brand FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part) WHERE text IS NOT NULL AND trim(text) <> ''""")
+def q22e_evidence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T32."""
+    return C.evidence_documents(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type"])
+
+
+@query("""WITH l AS (SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type || '=' || n) AS lanes FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1)
+SELECT user_id, history, lanes FROM (SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS history FROM events GROUP BY 1) JOIN l USING (user_id)""")
+def q20b_term_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A22."""
+    return C.history(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", "event_type")
+
+
+@query("""SELECT user_id, sum(value) > 0 AS spent, count(DISTINCT CASE WHEN event_type = 'purchase' THEN event_id % 10 END) AS relevant, count(*) AS n FROM events GROUP BY user_id""")
+def q20c_trial_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A26."""
+    e = table(spark, sf_dir, "events").select("user_id", c("value").alias("cost"), (c("event_type") == "purchase").alias("relevant"), (c("event_id") % 10).alias("creator"))
+    return C.trial_outcomes(e, ["user_id"]).select("user_id", (c("cost") > 0).alias("spent"), "relevant", "n")
+
+
+@query("""SELECT n_name AS country, language, lower(replace(template, '{country}', n_name)) AS query FROM (SELECT n_name, CASE n_nationkey % 2 WHEN 0 THEN 'en' ELSE 'de' END AS language FROM nation) JOIN (VALUES ('en', 'Traders in {country}'), ('en', '{country}  markets'), ('de', 'Handel {country}')) v(language, template) USING (language)""".replace("lower(replace(template, '{country}', n_name))", "lower(trim(regexp_replace(replace(template, '{country}', n_name), '\\s+', ' ', 'g')))"))
+def q22f_query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T31."""
+    n = table(spark, sf_dir, "nation").select(c("n_name").alias("country"), F.when(c("n_nationkey") % 2 == 0, "en").otherwise("de").alias("language"))
+    t = spark.createDataFrame([("en", "Traders in {country}"), ("en", "{country}  markets"), ("de", "Handel {country}")], "language string, template string")
+    return text.query_variants(n, t)

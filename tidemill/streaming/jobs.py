@@ -138,18 +138,18 @@ def next_reset_ms(ms: float) -> float:
 
 def _cooldown(quarantine: float, pause: float):
     def run(key: tuple, rows: Rows, state: GroupState) -> Rows:
-        until, first = state.get if state.exists else (0.0, 0.0)
+        until, first = state.get if state.exists else (0.0, -1.0)
         out = []
         for r in _each(rows):
             at = r["at_ms"]
             if r["kind"] == "DAILY":
                 until, mode = next_reset_ms(at), "UNTIL_RESET"
             elif r["kind"] == "LIMIT":
-                again = bool(first) and at - first <= pause
+                again = first >= 0 and at - first <= pause
                 until, mode = at + (pause if again else quarantine), "PAUSED" if again else "QUARANTINED"
                 first = first if again else at
             elif at >= until:
-                until, first, mode = 0.0, 0.0, "OPEN"
+                until, first, mode = 0.0, -1.0, "OPEN"
             else:
                 mode = "COOLING"
             out.append((key[0], r["seq"], mode, until))

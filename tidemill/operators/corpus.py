@@ -35,16 +35,18 @@ def candidate_features(rows: DataFrame, dictionary: list[str]) -> DataFrame:
 
 
 def hypotheses(rows: DataFrame, least_creators: int = 2, least_documents: int = 2) -> DataFrame:
-    """A23. Terms of enough creators and documents, with their languages."""
-    g = rows.groupBy("term").agg(F.countDistinct("creator").alias("creators"), F.countDistinct("doc").alias("documents"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
+    """A23. Terms of enough creators and documents, with their languages. rows: one per term and document, as tokens() gives."""
+    own = rows.groupBy("term", "creator", "language").agg(F.count("*").alias("n"))
+    g = own.groupBy("term").agg(F.countDistinct("creator").alias("creators"), F.sum("n").alias("documents"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
     return g.where((c("creators") >= least_creators) & (c("documents") >= least_documents))
 
 
 def mine(rows: DataFrame, stopwords: list[str]) -> DataFrame:
-    """A25. Scored candidate terms: 2 * creators + communities + families + min(3, documents / 5)."""
+    """A25. Scored candidate terms: 2 * creators + communities + families + min(3, documents / 5). rows: one per term and document."""
     t = c("term")
     own = rows.where(F.length(t).between(2, 40) & ~t.isin(stopwords) & ~t.rlike(r"^\d+$"))
-    g = own.groupBy("term").agg(F.countDistinct("creator").alias("creators"), F.countDistinct("community").alias("communities"), F.countDistinct("family").alias("families"), F.countDistinct("doc").alias("documents"))
+    own = own.groupBy("term", "creator", "community", "family").agg(F.count("*").alias("n"))
+    g = own.groupBy("term").agg(F.countDistinct("creator").alias("creators"), F.countDistinct("community").alias("communities"), F.countDistinct("family").alias("families"), F.sum("n").alias("documents"))
     score = 2 * c("creators") + c("communities") + c("families") + F.least(F.lit(3.0), c("documents") / 5)
     return g.withColumn("score", F.round(score, 6)).withColumn("lifecycle", rules(((c("families") >= 2) & (c("creators") >= 2), "VALIDATED"), otherwise="CANDIDATE"))
 

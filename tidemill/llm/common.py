@@ -70,6 +70,12 @@ def bounded(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def repeats_ids(docs: DataFrame) -> bool:
+    """Whether any doc_id stands on more than one row."""
+    most = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().agg(F.max("count")).first()[0]
+    return (most or 0) > 1
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, text_or_empty
+from .common import bounded, discard, materialise, repeats_ids, text_or_empty
 
 #: The characters that do not count, ASCII white space.
 IGNORED = "\x09\x0a\x0b\x0c\x0d\x20"
@@ -108,6 +108,7 @@ def _decided(docs: DataFrame) -> DataFrame:
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("_len").alias("len"), (-F.col("doc_id")).alias("neg")))
     groups = routed.groupBy("_norm").agg(F.count("*").alias("_size"), best.alias("_best"))
     groups = materialise(groups.where("_size > 1").select(F.sha2("_norm", 256).alias("_sha"), (-F.col("_best.neg")).alias("_first"), "_size"), "copies")
+    discard(hot)
     out = docs.withColumn("_sha", F.sha2(normalised(), 256)).join(bounded(groups), "_sha", "left")
     out = out.withColumn("_keep", F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_first"))).drop("_first")
     return out.withColumns({"_size": F.coalesce("_size", F.lit(1)).cast("long"), "_kept": F.col("_keep").eqNullSafe(F.col("doc_id"))})
@@ -127,6 +128,8 @@ def classify(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat a doc_id and text, one."""
-    found = materialise(_decided(docs).where("_kept").select("doc_id", "text", "_row", "_size"), "kept")
+    found = _decided(docs).where("_kept").select("doc_id", "text", "_row", "_size")
+    if not repeats_ids(docs) and not docs.where("doc_id IS NULL").take(1):
+        return found.select("_row.*")
     copies = found.where("_size > 1").dropDuplicates(["doc_id", "text"])
     return found.where("_size = 1").unionByName(copies).select("_row.*")

@@ -21,12 +21,12 @@ class Params:
     groups on each side of the tensor, so collections ** 2 tables. rows: minhashes in a group, so a
     table key holds 2 * rows. block_words: words that one block of a candidate component holds about.
 
-    A link of similarity s is missed with at most 2 * (1 - s ** rows) ** collections: at 0.85, 0.00003.
+    A link of similarity s is missed with at most 2 * (1 - s ** rows) ** collections: at 0.85, 0.00015, and at 0.9, 0.000004.
     """
 
     words: int = 5
     percent: int = 85
-    collections: int = 12
+    collections: int = 10
     rows: int = 3
     block_words: int = 200_000
 
@@ -228,11 +228,16 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.max("n_words").alias("n_words"), F.first("left").alias("left"), F.first("right").alias("right")), "classes")
     candidates = candidate_components(classes, p)
     links = materialise(near_links(docs, candidates, classes, p), "links")
+    discard(candidates)
     roots = materialise(components(links), "roots")
+    discard(links)
     named = classes.select("digest", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
     out = sig.join(named, "digest", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = materialise(out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")), "components")
+    for t in (sig, classes, roots):
+        discard(t)
+    return out
 
 
 def deduplicate(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, as_long, discard, materialise, mix, range_hashes, run_hashes, slices
+from .common import SPACE_TABLE, Words, as_long, discard, materialise, mix, range_hashes, repeats_ids, run_hashes, slices
 
 #: Words of an anchor, and so k - ANCHOR + 1 anchors to choose a window's from.
 ANCHOR = 4
@@ -28,8 +28,7 @@ PART = 1 << 40
 
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with part: 0, or the row's number among the rows that repeat a doc_id."""
-    most = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().agg(F.max("count")).first()[0]
-    if (most or 0) < 2:
+    if not repeats_ids(docs):
         return docs.withColumn("part", F.lit(0).cast("long"))
     return docs.withColumn("part", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).cast("long") - 1)
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shared_dir, slices, text_or_empty
+from .common import discard, materialise, repeats_ids, shared_dir, slices, text_or_empty
 
 #: A record is this head (document, part, tokens) and the tokens, little-endian.
 HEAD = "<qii"
@@ -123,8 +123,7 @@ def tokens(enc, text: str) -> list[int]:
 def _numbered(docs: DataFrame) -> DataFrame:
     """doc_id, text and twin: 0, or the number of the row among those that repeat a doc_id."""
     docs = docs.select("doc_id", text_or_empty().alias("text"))
-    most = docs.groupBy("doc_id").count().agg(F.max("count")).first()[0]
-    if (most or 0) < 2:
+    if not repeats_ids(docs):
         return docs.withColumn("twin", F.lit(0))
     return docs.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1)
 

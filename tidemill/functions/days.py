@@ -12,11 +12,12 @@ QUOTA_ZONE = "America/Los_Angeles"
 
 
 def utc_day(ts) -> Column:
+    """M02."""
     return F.to_date(F.date_trunc("day", col(ts)))
 
 
 def quota_day(ts) -> Column:
-    """The date in the quota zone; days are 23 or 25 hours long when clocks change."""
+    """M01. The date in the quota zone; days are 23 or 25 hours long when clocks change."""
     return F.to_date(F.from_utc_timestamp(col(ts), QUOTA_ZONE))
 
 

@@ -60,6 +60,7 @@ def propensity_weight(basis_points) -> Column:
 
 
 def age_days(then, now) -> Column:
+    """M03."""
     return (F.unix_micros(col(now)) - F.unix_micros(col(then))) / 86_400_000_000.0
 
 

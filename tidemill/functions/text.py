@@ -35,6 +35,7 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def words(x) -> Column:
+    """T02. The words of a text, in order."""
     return F.regexp_extract_all(col(x), F.lit(f"({WORD})"), F.lit(1))
 
 

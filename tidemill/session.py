@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "tidemill", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with AQE on. master None keeps what spark-submit gave, or else local cores."""
+    """S03. A session in UTC with AQE on. master None keeps what spark-submit gave, or else local cores."""
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     if master or not os.environ.get("SPARK_MASTER"):
         b = b.master(master or "local[*]")

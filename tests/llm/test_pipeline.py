@@ -40,3 +40,18 @@ def test_stages_against_brute_force(spark, tmp_path):
         counts.append(len(got))
     assert counts == sorted(counts, reverse=True)
     assert corpus_pipeline.run(spark, DATA).count() == counts[-1]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    good = table(spark, DATA, "documents").limit(3).collect()
+    rows = [(good[0].doc_id, good[0].text, "en", "s", 1, "x"), (900, None, None, None, None, None), (901, "", "en", None, 0, "y"), (None, good[1].text, None, None, None, None), (902, good[0].text, "en", "s", 1, "z"), (902, good[0].text, "en", "s", 1, "z"), (903, "one two", "en", "s", 1, "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    for start, name in ((docs, "odd"), (docs.where("false"), "empty")):
+        now = start
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, DATA)
+            assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}{k}")
+            now = spark.read.parquet(f"{tmp_path}/{name}{k}")
+        ids = [r.doc_id for r in now.collect()]
+        assert len(ids) == len(set(ids)) and 902 not in ids

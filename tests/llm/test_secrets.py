@@ -31,7 +31,6 @@ def test_against_every_rule_on_every_text(spark):
 
 
 def test_queries_hold_of_matches():
-    rng = random.Random(3)
     for r in ss.BASE + ss.ADDED:
         need = ss.trigram_query(r.pattern)
         for _, t in cases():
@@ -40,7 +39,6 @@ def test_queries_hold_of_matches():
                 assert all(any(way <= have for way in clause) for clause in need), (r.kind, t)
     assert ss.trigram_query("[0-9a-f]+") == [] and ss.trigram_query("abc|d") == []
     assert ss.trigram_query("ab(c|d)e") == [frozenset({frozenset({"abc", "bce"}), frozenset({"abd", "bde"})})]
-    assert rng
 
 
 def test_full_index(spark):

@@ -52,6 +52,15 @@ def test_repeats_against_brute_force(spark):
         assert sorted(got, key=key) == sorted(brute_repeats(rows, k), key=key)
 
 
+def test_spans_that_are_not_their_source_stay(spark):
+    bank = " ".join(f"w{i}" for i in range(30))
+    docs = substring_dedup.numbered(spark.createDataFrame([(1, bank), (2, "x " + bank), (3, "y " * 40)], "doc_id long, text string"))
+    spans = substring_dedup.repeated_spans(docs, 13)
+    assert [(r.doc_id, r.start, r.n_edges, r.source_id, r.source_place) for r in spans.collect()] == [(2, 1, 18, 1, 0)]
+    wrong = spans.unionByName(spans.selectExpr("3L AS doc_id", "part", "start", "n_edges", "source_id", "source_place"))
+    assert [(r.doc_id, r.start, r.n_edges) for r in substring_dedup.verified(docs, wrong, 13).collect()] == [(2, 1, 18)]
+
+
 def test_repeats_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.remove_repeats(docs).count() == 0

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: A written table of at most so many bytes may be broadcast.
 BROADCAST_BYTES = 2 << 20
 #: Settings while a table is written: its shuffle files go at once, since nothing runs its plan again, and batches to Python are small.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 #: The bytes that part words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 

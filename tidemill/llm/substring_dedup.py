@@ -156,6 +156,43 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     return spans
 
 
+def _digests(k: int):
+    """(doc_id, part, text, places) -> a digest of the words at each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out: list[list] = [[], [], [], [], []]
+            for row in range(batch.num_rows):
+                words = (batch.column(2)[row].as_py() or "").encode().split()
+                for at in batch.column(3)[row].as_py():
+                    own = b" ".join(words[at["start"] : at["start"] + at["n_edges"] + k - 1])
+                    for col, v in zip(out, (ids[row], parts[row], at["start"], at["n_edges"], hashlib.blake2b(own, digest_size=16).digest()), strict=True):
+                        col.append(v)
+            types = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "part", "start", "n_edges", "digest"])
+
+    return run
+
+
+def verified(docs: DataFrame, spans: DataFrame, k: int = 13) -> DataFrame:
+    """The spans whose words are those at their source coordinates, by a digest of both texts' words.
+
+    So what is removed does not rest on window hashes: a span that met its source by a collision stays.
+    """
+    key = ["doc_id", "part", "start", "n_edges"]
+    source = [F.col("source_id").alias("doc_id"), F.floor(F.col("source_place") / PART).cast("long").alias("part"), F.pmod("source_place", F.lit(PART)).alias("start"), F.col("n_edges").cast("long").alias("n_edges")]
+    own = spans.select("doc_id", "part", "start", F.col("n_edges").cast("long").alias("n_edges"))
+    places = own.unionByName(spans.select(*source)).groupBy("doc_id", "part").agg(F.collect_set(F.struct("start", "n_edges")).alias("places"))
+    rows = docs.join(places, ["doc_id", "part"]).select("doc_id", "part", "text", "places")
+    found = materialise(rows.mapInArrow(_digests(k), "doc_id long, part long, start long, n_edges long, digest binary"), "digests")
+    theirs = found.select(*[F.col(c).alias(f"s_{c}") for c in key], F.col("digest").alias("s_digest"))
+    both = spans.select(*own.columns, *[c.alias(f"s_{n}") for c, n in zip(source, key, strict=True)]).join(theirs, [f"s_{c}" for c in key]).join(found, key)
+    out = materialise(both.where("digest = s_digest").select(*key).distinct(), "verified")
+    discard(found)
+    return out
+
+
 def _cut(k: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +228,9 @@ def remove_repeats(docs: DataFrame, k: int = 13, texts: bool = True) -> DataFram
     """
     docs = numbered(docs.select("doc_id", "text"))
     spans = repeated_spans(docs, k)
-    cuts = materialise(spans.groupBy("doc_id", "part").agg(F.collect_set(F.struct("start", "n_edges")).alias("cuts")), "cuts")
+    sure = verified(docs, spans, k)
     discard(spans)
+    cuts = materialise(sure.groupBy("doc_id", "part").agg(F.collect_set(F.struct("start", "n_edges")).alias("cuts")), "cuts")
+    discard(sure)
     rows = docs.join(cuts, ["doc_id", "part"], "left").select("doc_id", "text", "cuts")
     return rows.mapInArrow(_cut(k, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

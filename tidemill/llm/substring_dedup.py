@@ -121,6 +121,17 @@ def _units(k: int):
     return run
 
 
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans of a text that continue each other here and in their source, as one."""
+    line = ["doc_id", "part", "source_id", "shift"]
+    w = Window.partitionBy(*line).orderBy("start")
+    own = spans.withColumns({"shift": F.col("source_place") - F.col("start"), "end": F.col("start") + F.col("n_edges")})
+    own = own.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    own = own.withColumn("island", F.sum((F.col("start") > F.coalesce("reach", F.lit(-1))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = own.groupBy(*line, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return out.select("doc_id", "part", "start", (F.col("end") - F.col("start")).alias("n_edges"), "source_id", (F.col("start") + F.col("shift")).alias("source_place"))
+
+
 def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     """(doc_id, part, start, n_edges, source_id, source_place): spans of docs that begin in an earlier document.
 
@@ -150,7 +161,7 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     discard(own)
     spans = units.select(*key, "doc_id", "place").join(paths, key).where("doc_id > source_id")
     spans = spans.select("doc_id", F.floor(F.col("place") / PART).cast("long").alias("part"), F.pmod("place", F.lit(PART)).alias("start"), "n_edges", "source_id", "source_place")
-    spans = materialise(spans, "spans")
+    spans = materialise(_joined(spans), "spans")
     discard(units)
     discard(paths)
     return spans

@@ -15,7 +15,8 @@ SLICE_BYTES = 1 << 20
 #: A written table of at most so many bytes may be broadcast.
 BROADCAST_BYTES = 2 << 20
 #: Settings while a table is written: its shuffle files go at once, since nothing runs its plan again, and batches to Python are small.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH_BYTES: "4m"}
 #: The bytes that part words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -59,6 +60,12 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand Python at most 8 MiB at once, unless it has a setting of its own: whole texts go through, twice where rows are carried."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # as it comes
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def bounded(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
     """df with a broadcast hint if the files of the materialised table that it selects from are small enough.
 

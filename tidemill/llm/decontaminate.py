@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_long, column_bytes, delimiters, slices, text_or_empty
+from .common import Words, as_long, column_bytes, delimiters, slices, small_batches, text_or_empty
 
 #: Bytes that part words once A-Z are lowered; all but 0-9, a-z and bytes from 0x80.
 WORD_DELIMITERS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -192,6 +192,7 @@ def benchmark_blocks(benchmark: DataFrame, window: int = 10, block_bytes: int =
 
 def _annotated(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """row (all columns of docs), n_words, hits (array of [start, end) word spans), items (item ids)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     out = docs.select(F.struct("*").alias("row"), F.lit(0).cast("long").alias("n_words"), F.expr("CAST(array() AS array<struct<a: long, b: long>>)").alias("hits"), F.expr("CAST(array() AS array<string>)").alias("items"))
     for block in [*benchmark_blocks(benchmark, window)] or [Block.build([], window)]:

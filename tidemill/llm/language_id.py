@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices
+from .common import materialise, slices, small_batches
 
 #: Fixed value: all but letters, which a language is not told by here.
 OTHER = re.compile(r"[\W\d_]+")
@@ -105,6 +105,7 @@ def identify(docs: DataFrame, contents: dict[str, bytes], p: Params = Params())
                 lang, score, rejected = zip(*(c.predict(t) for t in b.column(1).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.array(score)), pa.array(rejected)], names=["row", "lang_pred", "score", "rejected"])
 
+    small_batches(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("row"))
     schema = T.StructType([*packed.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return packed.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_long, column_bytes, delimiters, run_hashes, slices
+from .common import Words, as_long, column_bytes, delimiters, run_hashes, slices, small_batches
 from .license_templates import OTHERS, TEMPLATES
 
 #: Bytes that part words (digits part them too, so versions do not matter), and words that tell nothing.
@@ -191,6 +191,7 @@ def scan(docs: DataFrame, p: Params = Params()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "families", "n_confirmed", "n_unknown", "found"])
 
     schema = "doc_id long, n_words long, families string, n_confirmed long, n_unknown long, found array<struct<start: long, end: long, family: string, probability: double, similarity: double, confirmed: boolean>>"
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

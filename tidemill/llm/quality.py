@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, delimiters, materialise, slices
+from .common import SPACE_TABLE, Words, delimiters, materialise, slices, small_batches
 
 #: Classes of bytes that are counted.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r", b"\n", b".", b",;:", b"!?", b"|", b"#$%&*@^~=<>_\\/+", b"'\"()[]{}-`", bytes(range(128, 256)))
@@ -241,5 +241,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataF
                 good = sent.value.score(statistics(buf, off)) >= p.threshold
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good))], names=["row"])
 
+    small_batches(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("row"))
     return packed.mapInArrow(run, packed.schema).select("row.*")

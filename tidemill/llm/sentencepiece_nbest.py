@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _R, _R_INV, _power, as_long, mix, slices
+from .common import _BYTE, _R, _R_INV, _power, as_long, mix, slices, small_batches
 
 #: How the format writes a space, the penalty of a character that no piece has, and the score that marks
 #: a piece without an own one; such pieces (single spaces, runs of spaces) score a little below the lowest that has one.
@@ -389,6 +389,7 @@ def encode(docs: DataFrame, model: str | None = None, n: int = 4) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.tokens))
             yield pa.RecordBatch.from_arrays([b.column(0), as_long(np.diff(at)), lists, pa.array(scores, pa.list_(pa.float64())), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "nbest_scores", "ids_sha256", "round_trip"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, nbest_scores array<double>, ids_sha256 string, round_trip boolean")
 
 

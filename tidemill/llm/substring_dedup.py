@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, as_long, discard, materialise, mix, range_hashes, repeats_ids, run_hashes, slices
+from .common import SPACE_TABLE, Words, as_long, discard, materialise, mix, range_hashes, repeats_ids, run_hashes, slices, small_batches
 
 #: Words of an anchor, and so k - ANCHOR + 1 anchors to choose a window's from.
 ANCHOR = 4
@@ -243,5 +243,6 @@ def remove_repeats(docs: DataFrame, k: int = 13, texts: bool = True) -> DataFram
     discard(spans)
     cuts = materialise(sure.groupBy("doc_id", "part").agg(F.collect_set(F.struct("start", "n_edges")).alias("cuts")), "cuts")
     discard(sure)
+    small_batches(docs.sparkSession)
     rows = docs.join(cuts, ["doc_id", "part"], "left").select("doc_id", "text", "cuts")
     return rows.mapInArrow(_cut(k, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -104,11 +104,6 @@ def segment_health(runs: DataFrame, dimensions: list[str]) -> DataFrame:
     return out.withColumns({"expansion": js_round(1 - F.col("saturation"), 2), "coverage_gap": (F.col("valuable") == 0) | (F.col("underexplored_pct") < 15) | (F.col("runs") < 3)}).drop("_overlap", "_under")
 
 
-def run_sets(observations: DataFrame, key: str = "neighborhood") -> DataFrame:
-    """Each run's set of creators, with its neighborhood."""
-    return observations.groupBy(key, "run_id").agg(F.collect_set("creator_id").alias("creators"))
-
-
 def run_overlap(observations: DataFrame, key: str = "neighborhood", history: int = 5) -> DataFrame:
     """U02, U03, W08. Jaccard of each run with the one before of its key, and the share of it that the last `history` runs had; null without history.
 

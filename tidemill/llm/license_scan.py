@@ -27,7 +27,7 @@ class Params:
     """gap: words without a known bigram that end a paragraph. copies: training variants of each template.
 
     probability: least calibrated probability of a family. similarity: least share of a paragraph's
-    bigrams that a template of the family must have, which confirms it. words: fewest in a paragraph.
+    bigrams that the family's templates together must have, which confirms it. words: fewest in a paragraph.
     """
 
     gap: int = 6
@@ -48,24 +48,26 @@ def _plain(text: str) -> list[str]:
 
 
 class Model:
-    """n-gram vocabulary of the templates, softmax weights, temperature, and each template's bigrams."""
+    """n-gram vocabulary of the templates, softmax weights, temperature, and each family's bigrams."""
 
     def __init__(self, p: Params):
         self.p = p
         self.families = [*TEMPLATES, UNKNOWN]
         grams: set[int] = set()
-        self.templates: list[tuple[int, np.ndarray]] = []
+        self.own: list[np.ndarray] = []
         bigrams: set[int] = set()
-        for f, texts in enumerate(TEMPLATES.values()):
+        for texts in TEMPLATES.values():
+            own: set[int] = set()
             for t in texts:
                 w = _words(t)
                 names = _plain(t)
                 two = run_hashes(w.hashes, 2)
                 telling = np.array([not (COMMON >= set(names[i : i + 2])) for i in range(len(two))], dtype=bool)
                 bigrams |= set(two[telling].tolist())
-                self.templates.append((f, np.unique(two)))
+                own |= set(two.tolist())
                 grams |= {int(h) for h, n in zip(w.hashes, names, strict=True) if n not in COMMON}
                 grams |= set(two.tolist()) | set(run_hashes(w.hashes, 3).tolist())
+            self.own.append(np.sort(np.array(list(own), dtype=np.uint64)))
         self.bigrams = np.sort(np.array(list(bigrams), dtype=np.uint64))
         self.grams = np.sort(np.array(list(grams), dtype=np.uint64))
         self._fit()
@@ -121,16 +123,16 @@ class Model:
         self.held_out_accuracy = float(np.mean(z.argmax(1) == y[hold]))
 
     def classify(self, hashes: np.ndarray) -> tuple[str, float, float, bool]:
-        """Family or unknown, its calibrated probability, the best template's similarity, and whether that confirms."""
+        """Family or unknown, its calibrated probability, the similarity to its templates together, and whether that confirms."""
         at, value = self.features(hashes)
         z = (self.weights[at].sum(0) * value + self.weights[-1]) / self.temperature
         prob = np.exp(z - z.max())
         prob /= prob.sum()
         f = int(prob.argmax())
         two = np.unique(run_hashes(hashes, 2))
-        shared = [len(np.intersect1d(two, t, assume_unique=True)) / max(1, len(two)) for g, t in self.templates if g == f]
-        alike = max(shared, default=0.0)
-        known = f < len(self.families) - 1 and prob[f] >= self.p.probability and len(hashes) >= self.p.words
+        none = len(self.families) - 1
+        alike = len(np.intersect1d(two, self.own[f], assume_unique=True)) / max(1, len(two)) if f < none else 0.0
+        known = f < none and prob[f] >= self.p.probability and len(hashes) >= self.p.words
         return self.families[f] if known else UNKNOWN, float(prob[f]), alike, known and alike >= self.p.similarity
 
     def paragraphs(self, w: Words) -> tuple[np.ndarray, np.ndarray]:

@@ -239,6 +239,19 @@ def test_graph(spark):
     assert G.sealed(a, []).collect() == G.sealed(b, []).collect()
 
 
+def test_closure_of_any_depth(spark):
+    chain = [(i, i + 1) for i in range(12)]
+    ring = [(100 + i, 100 + (i + 1) % 11) for i in range(11)]
+    links = spark.createDataFrame([*chain, *ring, (None, 0), (5, None), (None, 100), (0, 1)], "parent long, child long")
+    got = [tuple(r) for r in G.closure(links).where("ancestor < 100 AND descendant IS NOT NULL").collect()]
+    assert sorted(got) == [(a, b, b - a) for a in range(13) for b in range(a + 1, 13)]
+    every = G.closure(links).collect()
+    assert len(every) == len({(r.ancestor, r.descendant) for r in every}) and max(r.depth for r in every) == 13
+    assert {r.node for r in G.cyclic(links).collect()} == set(range(100, 111))
+    assert max(r.depth for r in G.closure(links, 3).collect()) == 3 and G.cyclic(links, 10).count() == 0
+    assert G.closure(links.where("false")).count() == 0
+
+
 def test_continuation_streaks(spark):
     low, high = (0.0,) * 7, (1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0)
     rows = [(1, p, *(low if p in (2, 3, 5) else high), 1, 1) for p in range(1, 7)]

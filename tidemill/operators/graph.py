@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.jobs import shared_folder
 from .relational import latest
 
 c = F.col
@@ -43,25 +47,30 @@ def bounded_frontier(seeds: DataFrame, active: DataFrame, as_of, *, least_bp: in
     return out
 
 
-def closure(links: DataFrame, most: int = 8) -> DataFrame:
+def closure(links: DataFrame, most: int | None = None) -> DataFrame:
     """G04, G03. (ancestor, descendant, depth) of a parent table, by joining paths to links; no pair twice.
 
-    Stops when a level adds nothing; at most `most` levels. A pair (x, x) is a cycle.
+    Goes on until a level adds nothing, or for `most` levels if given. A pair (x, x) is a cycle. Each level is
+    written in the shared folder, so plans do not grow with depth.
     """
-    step = links.select(c("parent").alias("ancestor"), c("child").alias("descendant")).distinct()
-    out = step.withColumn("depth", F.lit(1))
-    last = out
-    for d in range(2, most + 1):
-        longer = last.select("ancestor", c("descendant").alias("_mid")).join(step.select(c("ancestor").alias("_mid"), "descendant"), "_mid").select("ancestor", "descendant").distinct()
-        fresh = longer.join(out, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(d))
-        if fresh.isEmpty():
-            break
-        out, last = out.unionByName(fresh), fresh
-    return out
-
-
-def cyclic(links: DataFrame, most: int = 8) -> DataFrame:
-    """G03. Nodes that reach themselves."""
+    spark = links.sparkSession
+    at = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
+    fresh = links.select(c("parent").alias("ancestor"), c("child").alias("descendant")).distinct().withColumn("depth", F.lit(1))
+    paths = []
+    for d in count(1):
+        paths.append(f"{at}/{d}")
+        fresh.write.parquet(paths[-1])
+        step, last, out = (spark.read.schema(fresh.schema).parquet(*x) for x in (paths[:1], paths[-1:], paths))
+        if d == most or last.isEmpty():
+            return out
+        step = step.select(c("ancestor").alias("_mid"), "descendant")
+        longer = last.select("ancestor", c("descendant").alias("_mid")).join(step, "_mid").select("ancestor", "descendant").distinct().alias("l")
+        seen = [c(f"l.{x}").eqNullSafe(c(f"o.{x}")) for x in ("ancestor", "descendant")]
+        fresh = longer.join(out.alias("o"), seen, "left_anti").withColumn("depth", F.lit(d + 1))
+
+
+def cyclic(links: DataFrame, most: int | None = None) -> DataFrame:
+    """G03. Nodes that reach themselves, by at most `most` links if given."""
     return closure(links, most).where("ancestor = descendant").select(c("ancestor").alias("node")).distinct()
 
 

@@ -99,6 +99,25 @@ def test_near_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_near_texts_of_one_id(spark):
+    def text(name, edit=None):
+        return " ".join(f"{name}{edit if n == 30 and edit else n}" for n in range(100))
+
+    rows = [(5, text("a")), (5, text("b")), (5, text("c")), (2, text("a", "x")), (6, text("b", "x")), (7, text("c", "x")), (5, None)]
+    rows += [(50 + k, text(f"d{k}")) for k in range(4)] + [(50, text("e")), (60, text("e", "x")), (61, text("d0", "x"))]
+    want = {(2, "a"): 2, (5, "a"): 2, (5, "b"): 5, (6, "b"): 5, (5, "c"): 5, (7, "c"): 5, (50, "d0"): 50, (61, "d0"): 50, (50, "e"): 50, (60, "e"): 50}
+    for order in (rows, rows[::-1]):
+        for block_words in (1_000_000, 150):
+            p = minhash_dedup.Params(block_words=block_words)
+            got = sorted((r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(frame(spark, order), p).collect())
+            assert got == sorted([(i, c) for (i, _), c in want.items()] + [(5, 5)] + [(50 + k, 50 + k) for k in range(1, 4)])
+        kept = minhash_dedup.deduplicate(frame(spark, order))
+        assert kept.columns == ["doc_id", "text", "keep_id", "_size"]
+        left = {(2, text("a", "x")), (5, text("b")), (5, text("c")), (5, None), (50, text("d0")), (50, text("e"))} | {(50 + k, text(f"d{k}")) for k in range(1, 4)}
+        found = [tuple(r) for r in kept.select("doc_id", "text").collect()]
+        assert set(found) == left and len(found) == len(left)
+
+
 def test_confirmed_links_exact():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**62, 60).astype(np.uint64)

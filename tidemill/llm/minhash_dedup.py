@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, as_long, bounded, discard, materialise, slices
+from .common import SPACE_TABLE, Words, as_long, bounded, column_bytes, discard, materialise, slices
 from .components import components
 
 
@@ -51,6 +52,11 @@ def run_of(words: np.ndarray) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little"))
 
 
+def digest_of(shingle_set: np.ndarray) -> bytes:
+    """The digest of a sorted distinct shingle set; of none, nothing."""
+    return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest() if len(shingle_set) else b""
+
+
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
     """(doc_id, n_shingles, n_words, digest, left, right): the digest is that of the whole shingle set."""
     m = p.collections * p.rows
@@ -74,7 +80,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
             at = np.searchsorted(doc, np.arange(docs_n + 1))
             digests = [b""] * docs_n
             for d in full:
-                digests[d] = hashlib.blake2b(h[at[d] : at[d + 1]].tobytes(), digest_size=16).digest()
+                digests[d] = digest_of(h[at[d] : at[d + 1]])
             keys = np.zeros((docs_n, 2 * p.collections), dtype=np.uint64)
             if len(full):
                 for c in range(2 * p.collections):
@@ -99,10 +105,10 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(rep, key) for each pair of a left and a right group: the tensor of the two collections."""
-    one = classes.select("rep", "right", F.posexplode("left").alias("i", "u"))
-    both = one.select("rep", "i", "u", F.posexplode("right").alias("j", "v"))
-    return both.select("rep", F.xxhash64("i", "u", "j", "v").alias("key"))
+    """(node, key) for each pair of a left and a right group: the tensor of the two collections."""
+    one = classes.select("node", "right", F.posexplode("left").alias("i", "u"))
+    both = one.select("node", "i", "u", F.posexplode("right").alias("j", "v"))
+    return both.select("node", F.xxhash64("i", "u", "j", "v").alias("key"))
 
 
 class _Forest:
@@ -166,10 +172,10 @@ def confirmed_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int
 
 
 def candidate_components(classes: DataFrame, p: Params) -> DataFrame:
-    """(node, root): representatives that some chain of shared tables connects."""
+    """(node, root): classes that some chain of shared tables connects."""
     keys = table_keys(classes.where("n_shingles > 0"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    stars = keys.join(shared.select("key", "low"), "key").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    stars = keys.join(shared.select("key", "low"), "key").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     stars = materialise(stars.distinct(), "stars")
     found = materialise(components(stars), "candidates")
     discard(stars)
@@ -177,17 +183,18 @@ def candidate_components(classes: DataFrame, p: Params) -> DataFrame:
 
 
 def near_links(docs: DataFrame, candidates: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """(a, b): links between representatives that connect each exact component.
+    """(a, b): links between classes that connect each exact component.
 
     A candidate component is cut into blocks of about block_words; each pair of its blocks is one
-    group, so no group grows with the component and no pair of blocks is left out.
+    group, so no group grows with the component and no pair of blocks is left out. A class stands for
+    itself by the text of its smallest doc_id that has its digest.
     """
-    sized = candidates.join(classes.select(F.col("rep").alias("node"), "n_words"), "node")
+    sized = candidates.join(classes.select("node", "rep", "digest", "n_words"), "node")
     blocks = sized.groupBy("root").agg(F.ceil(F.sum("n_words") / p.block_words).cast("int").alias("blocks"))
     placed = sized.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    pairs = placed.select("node", "root", F.explode(F.expr("CASE WHEN blocks = 1 THEN array(named_struct('i', 0, 'j', 0)) ELSE flatten(array(transform(sequence(0, own), x -> named_struct('i', x, 'j', own)), transform(sequence(own, blocks - 1), x -> named_struct('i', own, 'j', x)))) END")).alias("at"))
-    pairs = pairs.select("node", "root", "at.i", "at.j").distinct()
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text").join(pairs, "node")
+    pairs = placed.select("node", "rep", "digest", "root", F.explode(F.expr("CASE WHEN blocks = 1 THEN array(named_struct('i', 0, 'j', 0)) ELSE flatten(array(transform(sequence(0, own), x -> named_struct('i', x, 'j', own)), transform(sequence(own, blocks - 1), x -> named_struct('i', own, 'j', x)))) END")).alias("at"))
+    pairs = pairs.select("node", "rep", "digest", "root", "at.i", "at.j").distinct()
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").join(pairs, "rep")
     spread = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,48 +206,75 @@ def near_links(docs: DataFrame, candidates: DataFrame, classes: DataFrame, p: Pa
 
         for batch, buf, off in slices(batches):
             h, at = shingles(Words(buf, off, SPACE_TABLE, lower=True), p.words)
-            cols = [batch.column(i).to_pylist() for i in (0, 2, 3, 4)]
-            for d, (node, *group) in enumerate(zip(*cols, strict=True)):
+            cols = [batch.column(i).to_pylist() for i in (0, 5, 2, 3, 4)]
+            for d, (node, digest, *group) in enumerate(zip(*cols, strict=True)):
                 if group != key:
                     if len(ids) > 1:
                         yield close()
                     key, ids, sets = group, [], []
-                if not ids or ids[-1] != node:  # rows that repeat a doc_id stand once
+                if ids and ids[-1] == node:  # rows that repeat a doc_id stand once
+                    continue
+                own = np.unique(h[at[d] : at[d + 1]])
+                if digest_of(own) == digest:  # other texts of a repeated doc_id are other classes
                     ids.append(node)
-                    sets.append(np.unique(h[at[d] : at[d + 1]]))
+                    sets.append(own)
         if len(ids) > 1:
             yield close()
 
-    return spread.select("node", "text", "root", "i", "j").mapInArrow(run, "a long, b long")
-
+    return spread.select("node", "text", "root", "i", "j", "digest").mapInArrow(run, "a long, b long")
 
-def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
 
-    Documents of the same shingle set form a class at once; only class representatives are hashed
-    into tables and compared. Null, empty and wordless texts have no shingles and are linked with
-    nothing. A null doc_id has no place among ids: such a row stays unlinked, with a null component.
-    Of rows that repeat a doc_id with different texts, the first in set order is compared. An empty
-    table gives no rows.
-    """
+def _labelled(docs: DataFrame, p: Params) -> DataFrame:
+    """near_duplicates() with each row's digest, written."""
     sig = materialise(signatures(docs, p), "signatures")
     known = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.max("n_words").alias("n_words"), F.first("left").alias("left"), F.first("right").alias("right")), "classes")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.max("n_words").alias("n_words"), F.first("left").alias("left"), F.first("right").alias("right"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     candidates = candidate_components(classes, p)
     links = materialise(near_links(docs, candidates, classes, p), "links")
     discard(candidates)
     roots = materialise(components(links), "roots")
     discard(links)
-    named = classes.select("digest", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
+    named = classes.select("node", "digest", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.select("digest", "root").join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("digest", "component")
     out = sig.join(named, "digest", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    out = materialise(out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")), "components")
+    out = materialise(out.select("doc_id", "n_shingles", "digest", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")), "components")
     for t in (sig, classes, roots):
         discard(t)
     return out
 
 
+def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs.
+
+    Documents of the same shingle set form a class at once; classes are hashed into tables and
+    compared. Null, empty and wordless texts have no shingles and are linked with nothing. A null
+    doc_id has no place among ids: such a row stays unlinked, with a null component. Of rows that
+    repeat a doc_id with different texts, each text is compared and has the component of its own
+    class, named by its smallest doc_id. An empty table gives no rows.
+    """
+    return _labelled(docs, p).drop("digest")
+
+
 def deduplicate(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents of docs that stay, one of each component, with all their columns."""
-    gone = materialise(near_duplicates(docs, p).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The documents of docs that stay, one of each component, with all their columns.
+
+    Of a doc_id that stands on several texts, those rows stay whose own text does.
+    """
+    rows = _labelled(docs, p)
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("whole"), F.max("kept").alias("some"))
+    gone = materialise(ids.where("NOT whole").select("doc_id", "some"), "gone")
+    out = docs.join(bounded(gone.select("doc_id"), gone), "doc_id", "left_anti").select(*docs.columns)
+    mixed = gone.where("some").select("doc_id")
+    if mixed.isEmpty():
+        return out
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        h, at = shingles(Words(*column_bytes(pa.array(texts, pa.string())), SPACE_TABLE, lower=True), p.words)
+        return pd.Series([digest_of(np.unique(h[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)])
+
+    stay = rows.where("kept").join(mixed, "doc_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    parts = docs.join(mixed, "doc_id", "left_semi").withColumn("_own", digest(F.coalesce("text", F.lit(""))))
+    return out.unionByName(parts.join(stay, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi").select(*docs.columns))

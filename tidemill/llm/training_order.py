@@ -106,7 +106,10 @@ PIECE = 1 << 18
 
 
 def tokens(enc, text: str) -> list[int]:
-    """The ids of a text; a very long one is encoded in pieces that end after a line or a space."""
+    """The ids of a text; one over PIECE is encoded in pieces that end before a line end or a space.
+
+    Where a piece has neither, or white space runs over the cut, ids can differ from those of the whole text; decoding is exact.
+    """
     if len(text) <= PIECE:
         return enc.encode_ordinary(text)
     out, at = [], 0

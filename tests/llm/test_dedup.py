@@ -7,6 +7,8 @@ import pytest
 from tidemill.llm import exact_dedup, minhash_dedup
 from tidemill.llm.components import components
 
+from .test_spans import doubled
+
 SCHEMA = "doc_id long, text string, keep_id string, _size string"
 DATA = "/root/testdata/sf0.001/documents.parquet"
 
@@ -92,6 +94,46 @@ def test_near_against_brute_force(spark, block_words):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_words_that_only_seem_equal(spark):
+    one, two = doubled(1024)
+    tail = [" ".join(f"{x}{i}" for i in range(50)) for x in "pq"]
+    rows = [(1, one), (2, two), (3, f"{one} {tail[0]}"), (4, f"{two} {tail[0]}"), (5, f"{one} {one}"), (6, f"{two} {two}")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+    sets = minhash_dedup.exact_sets([t.encode() for _, t in rows], 5)
+    assert [len(s) for s in sets] == [1, 1, 47, 47, 1, 1] and len(np.intersect1d(sets[2], sets[3])) == 46 and not len(np.intersect1d(sets[0], sets[1]))
+
+
+def test_near_one_stays_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text), (1, text.replace("w59", "v")), (3, None), (3, None), (None, text)]
+    kept = [tuple(r) for r in minhash_dedup.deduplicate(frame(spark, rows)).select("doc_id", "text").collect()]
+    assert len([x for x in kept if x[0] == 1]) == 1 and (2, text) not in kept and kept.count((3, None)) == 2 and (None, text) in kept
+
+
+def test_a_component_of_many_blocks(spark):
+    """Chains and a hub over several blocks, with parts that only meet across blocks."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in range(3):
+        base = [f"c{c}w{i}" for i in range(120)]
+        for k in range(30):
+            w = list(base)
+            for at in rng.choice(120, rng.integers(0, 3), replace=False):
+                w[at] = f"e{rng.integers(0, 9)}"
+            rows.append((1000 * c + k, " ".join(w)))
+    now = [f"d{i}" for i in range(120)]  # a chain: each is like the next one only
+    for k in range(40):
+        now[(3 * k) % 120] = f"x{k}"
+        rows.append((9000 - k, " ".join(now)))
+    rows.append((50_005, "long " * 1_000 + " ".join(f"u{i}" for i in range(4_000))))
+    rows.append((50_006, "long " * 1_001 + " ".join(f"u{i}" for i in range(3_999))))
+    want = brute(rows)
+    for words in (1500,):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(frame(spark, rows), minhash_dedup.Params(block_words=words)).collect()}
+        assert got == want
+
+
 def test_near_edges(spark):
     assert minhash_dedup.near_duplicates(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]

@@ -3,8 +3,16 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from tidemill.llm import decontaminate, substring_dedup
+from tidemill.llm import common, decontaminate, substring_dedup
+
+
+def doubled(n):
+    """Two words of n letters whose polynomial sums modulo 2^64 are equal for every base: the Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
 
 
 def words(text):
@@ -52,6 +60,57 @@ def test_repeats_against_brute_force(spark):
         assert sorted(got, key=key) == sorted(brute_repeats(rows, k), key=key)
 
 
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_only_seem_equal(spark, n):
+    one, two = doubled(n)
+    tail = " " + " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, one + tail), (2, two + tail), (3, two + tail)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    bench = spark.createDataFrame([(7, one)], "item_id long, text string")
+    hits = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, bench).collect()}
+    assert hits == {1: (1, 1, True), 2: (0, 0, False), 3: (0, 0, False)}
+
+
+def test_hash_collisions_change_nothing(spark, monkeypatch):
+    """With hashes of a few bits under all salts but some, results are those of the words themselves."""
+    true = common.span_hashes
+    weak = lambda buf, a, z, salt=0: true(buf, a, z, salt) & np.uint64(7 if salt == 0 else 2**64 - 1)
+    monkeypatch.setattr(common, "span_hashes", weak)
+    buf = np.frombuffer(b"one two three four one five six seven eight nine ten two", dtype=np.uint8)
+    w = common.Words(buf, np.array([0, len(buf)]), common.SPACE_TABLE)
+    first, code = common.codes(w.buf, w.starts, w.ends)
+    own = [bytes(buf[a:z]) for a, z in zip(w.starts, w.ends)]
+    assert [own[f] for f in first[code]] == own and len(first) == len(set(own))
+    monkeypatch.setattr(decontaminate, "span_hashes", weak)
+    block = decontaminate.Block.build([("1", "one two three four five six seven eight nine"), ("2", "ten eleven")], 10)
+    assert block.salt > 0 and sorted(block.codes) == list(range(1, 12))
+    spans, salts = substring_dedup.repeated_spans, []
+
+    def misled(docs, k, salt):
+        salts.append(salt)
+        found = spans(docs, k, salt)
+        return common.materialise(found.withColumn("source_place", F.col("source_place") + 1), "spans") if salt == 0 else found
+
+    monkeypatch.setattr(substring_dedup, "repeated_spans", misled)
+    rows = [(1, " ".join(f"w{i}" for i in range(40))), (2, "x " + " ".join(f"w{i}" for i in range(30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in substring_dedup.remove_repeats(docs).orderBy("doc_id").collect()] == brute_repeats(rows, 13)
+    assert salts == [0, 2]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    long = " ".join(f"v{rng.randrange(50_000)}" for _ in range(200_000))
+    part = " ".join(long.split()[150_000:150_040])
+    rows = [(1, long), (2, "q " + part + " r"), (3, "z" * 1_000_000), (4, "z" * 999_999)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in substring_dedup.remove_repeats(docs).orderBy("doc_id").collect()] == brute_repeats(rows, 13)
+    items = [(1, part), (2, "z" * 1_000_000)]
+    got = [tuple(r) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()]
+    assert got == brute_hits(rows, items, 10)
+
+
 def test_spans_that_are_not_their_source_stay(spark):
     bank = " ".join(f"w{i}" for i in range(30))
     docs = substring_dedup.numbered(spark.createDataFrame([(1, bank), (2, "x " + bank), (3, "y " * 40)], "doc_id long, text string"))

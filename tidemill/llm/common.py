@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
-#: A written table of at most so many bytes may be broadcast.
-BROADCAST_BYTES = 2 << 20
+#: A written table whose rows take at most so many bytes in memory may be broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Settings while a table is written: its shuffle files go at once, since nothing runs its plan again, and batches to Python are small.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH_BYTES: "4m"}
@@ -26,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: a new one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,26 +65,45 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Collects tables of materialise() that go when the block ends, by an error too."""
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for df in held:
+            discard(df)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let the session hand Python at most 8 MiB at once, unless it has a setting of its own: whole texts go through, twice where rows are carried."""
     if spark.conf.get(BATCH_BYTES) == "67108864b":  # as it comes
         spark.conf.set(BATCH_BYTES, "8m")
 
 
+#: Bytes that one value of a type takes where it is broadcast, about; hexadecimal digests are the longest strings here.
+VALUE_BYTES = {"string": 112, "binary": 64}
+
+
 def bounded(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
-    """df with a broadcast hint if the files of the materialised table that it selects from are small enough.
+    """df with a broadcast hint if the rows of the materialised table that it selects from, at the width of df's columns, are few enough.
 
-    Otherwise df as it is, for a shuffled join.
+    Otherwise df as it is, for a shuffled join. Rows are counted from the files' footers.
     """
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    at = jvm.org.apache.hadoop.fs.Path((written or df)._written_at)
-    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    width = sum(VALUE_BYTES.get(f.dataType.typeName(), 16) for f in df.schema.fields)
+    return F.broadcast(df) if (written or df).count() * width <= BROADCAST_BYTES else df
 
 
-def repeats_ids(docs: DataFrame) -> bool:
-    """Whether any doc_id stands on more than one row."""
-    most = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().agg(F.max("count")).first()[0]
+def repeats_ids(docs: DataFrame, nulls: bool = False) -> bool:
+    """Whether any doc_id, or with nulls a missing one, stands on more than one row."""
+    known = docs if nulls else docs.where("doc_id IS NOT NULL")
+    most = known.groupBy("doc_id").count().agg(F.max("count")).first()[0]
     return (most or 0) > 1
 
 
@@ -97,13 +121,13 @@ SPACE_TABLE = delimiters(SPACES)
 LOWER_TABLE = np.arange(256, dtype=np.uint8)
 LOWER_TABLE[65:91] += 32
 
-_rng = np.random.Generator(np.random.PCG64(20240613))
-_BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64)
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _S = np.uint64(0xD1342543DE82EF95)
 _S_INV = np.uint64(pow(int(_S), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
+#: Byte ranges longer than this are hashed and compared one by one.
+LONG = 256
+#: The first n bytes of a little-endian 64-bit number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
@@ -125,6 +149,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers; zeros follow the last byte."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range: eight bytes at a time, each step mixed before the next.
+
+    Ranges that collide under one salt do not under another, but by chance again. Where equality must
+    not rest on chance, bytes are compared as well (equal_spans, codes).
+    """
+    eights, left = _eights(buf), ends - starts
+    h = mix(left.astype(np.uint64) + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    at, own, live = starts, left, None
+    if len(left) and left.max() > LONG:
+        for i in np.flatnonzero(left > LONG):
+            own_digest = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little"))
+            h[i] = int.from_bytes(own_digest.digest(), "little")
+        live = np.flatnonzero(left <= LONG)
+        at, own = starts[live], left[live]
+    while len(at):
+        x = eights[at] & _FIRST[np.minimum(own, 8)]
+        if live is None:
+            h = mix(h + mix(x ^ np.uint64(0xA0761D6478BD642F)))
+        else:
+            h[live] = mix(h[live] + mix(x ^ np.uint64(0xA0761D6478BD642F)))
+        more = np.flatnonzero(own > 8)
+        live = more if live is None else live[more]
+        at, own = at[more] + 8, own[more] - 8
+    return h
+
+
+def equal_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each byte range of buf has the very bytes of its range of other."""
+    same = ends - starts == other_ends - other_starts
+    mine = _eights(buf)
+    theirs = mine if other is buf else _eights(other)
+    live = np.flatnonzero(same)
+    if len(live) and (ends - starts)[live].max() > LONG:
+        for i in live[(ends - starts)[live] > LONG]:
+            same[i] = np.array_equal(buf[starts[i] : ends[i]], other[other_starts[i] : other_ends[i]])
+        live = live[(ends - starts)[live] <= LONG]
+    a, b, left = starts[live], other_starts[live], (ends - starts)[live]
+    while len(live):
+        differ = ((mine[a] ^ theirs[b]) & _FIRST[np.minimum(left, 8)]) != 0
+        same[live[differ]] = False
+        more = np.flatnonzero(~differ & (left > 8))
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
+
+
+def codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, code): equal byte ranges, and only those, have one code; first[c] is a range of code c.
+
+    Ranges are sorted by hash and compared with their code's first; a collision means another salt.
+    """
+    salt = 0
+    while True:
+        _, first, code = np.unique(span_hashes(buf, starts, ends, salt), return_index=True, return_inverse=True)
+        if equal_spans(buf, starts, ends, buf, starts[first][code], ends[first][code]).all():
+            return first, code
+        salt += 1
+
+
 class Words:
     """The words of some documents: byte ranges in one buffer, 64-bit hashes, and each document's first word.
 
@@ -132,7 +222,7 @@ class Words:
     the words of document d.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, delim: np.ndarray, lower: bool = False):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, delim: np.ndarray, lower: bool = False, salt: int = 0):
         self.raw = buf
         self.buf = LOWER_TABLE[buf] if lower else buf
         n = len(buf)
@@ -147,20 +237,15 @@ class Words:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.doc_at = np.searchsorted(self.starts, offsets)
-        self._hash: np.ndarray | None = None
+        self.salt = salt
 
-    @property
+    @cached_property
     def hashes(self) -> np.ndarray:
-        if self._hash is None:
-            if not len(self.starts):
-                self._hash = np.zeros(0, dtype=np.uint64)
-            else:
-                sums = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-                np.cumsum(_BYTE[self.buf] * _power(_R, len(self.buf)), out=sums[1:])
-                back = _power(_R_INV, len(self.buf) + 1)
-                h = (sums[self.ends] - sums[self.starts]) * back[self.starts]
-                self._hash = mix(h + (self.ends - self.starts).astype(np.uint64))
-        return self._hash
+        return self.hashed(self.salt)
+
+    def hashed(self, salt: int) -> np.ndarray:
+        """The words' hashes under another salt."""
+        return span_hashes(self.buf, self.starts, self.ends, salt)
 
     def doc_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.doc_at) - 1), np.diff(self.doc_at))

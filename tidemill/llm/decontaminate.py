@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_long, column_bytes, delimiters, slices, small_batches, text_or_empty
+from .common import Words, as_long, codes, column_bytes, delimiters, discard, equal_spans, materialise, slices, small_batches, span_hashes, text_or_empty
 
 #: Bytes that part words once A-Z are lowered; all but 0-9, a-z and bytes from 0x80.
 WORD_DELIMITERS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -24,9 +24,17 @@ BLOCK_BYTES = 16 << 20
 
 @dataclass
 class Block:
-    """Part of a benchmark: words as codes from 1 of a sorted vocabulary, one item after another."""
+    """Part of a benchmark: words as codes from 1 of a vocabulary, one item after another.
 
+    vocab has the hashes of the distinct words, sorted, under a salt that gives no two of them one
+    hash; buf with starts and ends has the words themselves, to compare with.
+    """
+
+    salt: int
     vocab: np.ndarray
+    buf: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
     codes: np.ndarray
     item_at: np.ndarray
     ids: list[str]
@@ -37,15 +45,26 @@ class Block:
         texts = pa.array([t for _, t in items], pa.large_string())
         buf, off = column_bytes(texts)
         w = Words(buf, off, DELIM_TABLE, lower=True)
-        vocab, codes = np.unique(w.hashes, return_inverse=True)
-        return cls(vocab, codes.astype(np.int64) + 1, w.doc_at, [i for i, _ in items], window)
-
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
-        """The code of each word, 0 for one that no item has."""
-        if not len(self.vocab):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
-        return np.where(self.vocab[at] == hashes, at + 1, 0)
+        first, code = codes(w.buf, w.starts, w.ends)
+        starts, ends, salt = w.starts[first], w.ends[first], 0
+        while len(np.unique(vocab := span_hashes(w.buf, starts, ends, salt))) < len(starts):
+            salt += 1
+        order = np.argsort(vocab)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        return cls(salt, vocab[order], w.buf, starts[order], ends[order], place[code], w.doc_at, [i for i, _ in items], window)
+
+    def encode(self, w: Words) -> np.ndarray:
+        """The code of each word, 0 for one that no item has, by its bytes."""
+        out = np.zeros(len(w.starts), dtype=np.int64)
+        if len(self.vocab):
+            hashes = w.hashed(self.salt)
+            at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
+            met = np.flatnonzero(self.vocab[at] == hashes)
+            at = at[met]
+            same = equal_spans(w.buf, w.starts[met], w.ends[met], self.buf, self.starts[at], self.ends[at])
+            out[met[same]] = at[same] + 1
+        return out
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every suffix of every item: its first word, its length and its item."""
@@ -148,7 +167,7 @@ class Shard:
         self.doc = self.words.doc_of_words()
         self.at = np.arange(len(self.doc)) + self.doc  # place of each word among words and separators
         seq = np.zeros(len(self.doc) + docs, dtype=np.int64)
-        seq[self.at] = block.encode(self.words.hashes)
+        seq[self.at] = block.encode(self.words)
         self.block = block
         start, length, item = block.suffixes()
         self.suffix_item, self.suffix_start = item, start - block.item_at[item]
@@ -176,26 +195,29 @@ class Shard:
         return np.cumsum(change)[:n] > 0
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The items in blocks of bounded size; only one block at a time is on the driver."""
+def benchmark_blocks(benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Block, bool]]:
+    """The items in blocks of bounded size, at least one, and whether it is the last; the driver has the items of one block at a time."""
     held, size = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), text_or_empty().alias("t")).orderBy("i", "t")
     for r in rows.toLocalIterator():
-        held.append((r["i"], r["t"]))
-        size += len(r["t"].encode())
         if size >= block_bytes:
-            yield Block.build(held, window)
+            yield Block.build(held, window), False
             held, size = [], 0
-    if held:
-        yield Block.build(held, window)
+        held.append((r["i"], r["t"]))
+        size += len(r["t"].encode())
+    yield Block.build(held, window), True
 
 
 def _annotated(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """row (all columns of docs), n_words, hits (array of [start, end) word spans), items (item ids)."""
+    """row (all columns of docs), n_words, hits (array of [start, end) word spans), items (item ids).
+
+    Each block of the benchmark is a pass; all but the last are written, and their block forgotten.
+    """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     out = docs.select(F.struct("*").alias("row"), F.lit(0).cast("long").alias("n_words"), F.expr("CAST(array() AS array<struct<a: long, b: long>>)").alias("hits"), F.expr("CAST(array() AS array<string>)").alias("items"))
-    for block in [*benchmark_blocks(benchmark, window)] or [Block.build([], window)]:
+    written = None
+    for block, last in benchmark_blocks(benchmark, window):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -224,6 +246,12 @@ def _annotated(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0), as_long(s.n_words), pa.array(hits, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["row", "n_words", "hits", "items"])
 
         out = out.mapInArrow(run, out.schema)
+        if not last:
+            done, out = written, materialise(out, "passes")
+            written = out
+            sent.destroy()
+            if done is not None:
+                discard(done)
     return out
 
 
@@ -259,7 +287,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark, out = docs.sparkSession, None
     schema = "item_id string, item_start long, length long, doc_id long, doc_start long"
-    for block in [*benchmark_blocks(benchmark, 10)] or [Block.build([], 10)]:
+    for block, last in benchmark_blocks(benchmark, 10):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -274,6 +302,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["item_id", "item_start", "length", "doc_id", "doc_start"])
 
         own = docs.select("doc_id", "text").mapInArrow(run, schema)
+        if not last:
+            own = materialise(own, "matches")
+            sent.destroy()
         out = own if out is None else out.unionByName(own)
-    best = F.max(F.struct("length", (-F.col("doc_id")).alias("d"), (-F.col("doc_start")).alias("s"))).alias("m")
-    return out.groupBy("item_id", "item_start").agg(best).select("item_id", "item_start", F.col("m.length").alias("length"), (-F.col("m.d")).alias("doc_id"), (-F.col("m.s")).alias("doc_start"))
+    best = F.min(F.struct((-F.col("length")).alias("l"), F.col("doc_id").isNull().alias("none"), "doc_id", "doc_start")).alias("m")
+    return out.groupBy("item_id", "item_start").agg(best).select("item_id", "item_start", (-F.col("m.l")).alias("length"), "m.doc_id", "m.doc_start")

@@ -129,4 +129,24 @@ SELECT doc_id,
 FROM d
 """,
     "op8_secret_scan": secret_scan.oracle_sql(),
+    "op9_minhash_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)
+), twoway AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT reach.a, twoway.b FROM reach JOIN twoway ON reach.b = twoway.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(reach.b) AS component_id, doc_id = min(reach.b) AS kept
+FROM reach JOIN d ON d.doc_id = reach.a LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+""",
 }

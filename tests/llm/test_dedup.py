@@ -55,6 +55,42 @@ def test_exact_edges(spark):
     assert exact_dedup.classify(frame(spark, [])).count() == 0
 
 
+def test_exact_one_row_of_each_group(spark):
+    rows = [(5, "ab"), (5, "a b"), (6, "a b"), (None, "c d"), (None, "cd"), (7, "e "), (7, " e"), (8, "f"), (8, "f"), (8, "f"), (9, "g"), (None, ""), (None, None)]
+    got = exact_dedup.classify(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(r.group_size for r in got) == 3 * 3 + 2 * 2 + 2 * 2 + 3 * 3 + 1 + 2 * 2
+    kept = [r for r in got if r.kept]
+    assert len(kept) == len({r.text_sha256 for r in got}) == 6 and all(r.doc_id == r.keep_id for r in kept)
+    left = [tuple(r) for r in exact_dedup.deduplicate(frame(spark, rows)).select("doc_id", "text").collect()]
+    assert len(left) == 6 and {(5, "a b"), (None, "c d"), (8, "f"), (9, "g")} <= set(left)
+    low = [(-(2**63), "x y"), (3, "x y"), (3, "xy")]
+    assert [tuple(r) for r in exact_dedup.deduplicate(frame(spark, low)).select("doc_id", "text").collect()] == [(-(2**63), "x y")]
+
+
+def test_filter_slots():
+    """The slots are those of a filter that takes one fingerprint after another by linear probing."""
+    rng = np.random.default_rng(9)
+    for width, q, n in ((16, 5, 24), (12, 4, 30), (20, 3, 40), (64, None, 3000)):
+        fp = rng.integers(0, 2**12 if width < 64 else 2**63, n, dtype=np.uint64) % np.uint64(2 ** min(width, 62))
+        counts = rng.integers(1, 2000, n)
+        f = exact_dedup.QuotientFilter.build(fp, q, counts, width)
+        want = {}
+        for x, c in zip(fp.tolist(), counts.tolist()):
+            want[x] = want.get(x, 0) + c
+        for g in (f, exact_dedup.QuotientFilter.from_bytes(f.to_bytes())):
+            assert dict(zip(*(a.tolist() for a in g.entries()))) == want and g.fingerprints().tolist() == sorted(want)
+        used, at = {}, 0
+        for x in sorted(want):
+            at = max(at, x >> f.r)
+            used[at] = x & ((1 << f.r) - 1)
+            at += 1
+            left = want[x] - 1
+            while left:
+                used[at], left, at = left & ((1 << f.r) - 1), left >> f.r, at + 1
+        taken = np.flatnonzero(f.bits & 7)
+        assert {int(k): int(f.slots[k]) for k in taken} == used
+
+
 def test_filters_merge_losslessly():
     rng = np.random.default_rng(5)
     fps = rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices, small_batches
+from .common import bounded, materialise, scratch, slices, small_batches
 
-#: Fixed value: all but letters, which a language is not told by here.
-OTHER = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Params:
-    """snippets and snippet_chars bound the sample of each language: that many texts, so much of each.
+    """snippets and snippet_chars bound the sample of each language: that many texts, a window of so much of each, both chosen by a hash of the text.
 
     chunk: bytes that are compressed by themselves, so that a long text's own repeats do not stand in
     for the dictionary. min_margin: least share by which the smallest must beat the second; a
@@ -37,8 +37,24 @@ class Params:
     min_match: int = 3
 
 
+@lru_cache(maxsize=1)
+def _others() -> re.Pattern:
+    """Runs of what is neither a letter nor a mark, as one class of code point ranges."""
+    ranges, start = [], None
+    for c in range(0x110001):
+        other = c < 0x110000 and unicodedata.category(chr(c))[0] not in "LM"
+        if other and start is None:
+            start = c
+        elif not other and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(ranges)}]+")
+
+
 def letters(text: str) -> str:
-    return OTHER.sub(" ", text.lower()).strip()
+    """The text in lower case with one space for all that stands between letters (categories L and M); empty without a letter."""
+    own = _others().sub(" ", text.lower()).strip()
+    return own if any(map(str.isalpha, own)) else ""
 
 
 class Compressors:
@@ -75,13 +91,17 @@ def train(docs: DataFrame, p: Params = Params()) -> dict[str, bytes]:
     """Dictionary contents by language, of rows of docs (doc_id, text, lang) with a language and letters.
 
     Languages stand by falling count of rows, then name: ties of size go to the more common. The
-    sample is bounded: the row of the smallest hash in each of `snippets` hash classes of a language.
+    sample is bounded: the text of the smallest hash in each of `snippets` hash classes of a language, and of a
+    longer one the window that starts at its hash modulo the places there are. doc_id and the order of rows play no part.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).where(F.col("text").rlike(r"\p{L}"))
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h")).where(F.col("text").rlike(r"\p{L}"))
     picked = known.select("lang", "h").groupBy("lang", F.pmod("h", F.lit(p.snippets)).alias("k")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    picked = materialise(picked, "sample")
-    count = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    rows = known.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, p.snippet_chars)).alias("t")).collect()
+    with scratch() as keep:
+        picked = keep(materialise(picked, "sample"))
+        count = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        room = f"greatest(length(text) - {p.snippet_chars}, 0) + 1"
+        window = F.expr(f"substring(text, CAST(pmod(shiftrightunsigned(h, 8), {room}) AS INT) + 1, {p.snippet_chars})")
+        rows = known.join(bounded(picked.select("lang", "h"), picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min(window).alias("t")).collect()
     held: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["h"], r["t"])):
         held.setdefault(r["lang"], []).append(letters(r["t"]))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, delimiters, materialise, slices, small_batches
+from .common import SPACE_TABLE, Words, delimiters, materialise, scratch, slices, small_batches
 
 #: Classes of bytes that are counted.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r", b"\n", b".", b",;:", b"!?", b"|", b"#$%&*@^~=<>_\\/+", b"'\"()[]{}-`", bytes(range(128, 256)))
@@ -166,12 +166,16 @@ def train(found: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """A model of the labelled rows of found (doc_id, x) that are not held out.
 
     labels has doc_id and quality; a doc_id with several labels counts with their mean, and null
-    labels not at all. Three quarters of the rows fit the ridge scores, the rest calibrates them.
+    labels not at all. Three quarters of the rows, by a hash of their statistics, fit the ridge scores, the rest calibrates them.
     Without labels every score is 0.5.
     """
     mean = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    rows = found.join(mean, "doc_id").where(~held_out()).withColumn("fold", F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string")) / 5), F.lit(4)))
-    rows = materialise(rows.select("x", "y", "fold"), "labelled")
+    rows = found.join(mean, "doc_id").where(~held_out()).withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(4)))
+    with scratch() as keep:
+        return _fitted(keep(materialise(rows.select("x", "y", "fold"), "labelled")), p)
+
+
+def _fitted(rows: DataFrame, p: Params) -> Model:
     fit, rest = rows.where("fold > 0"), rows.where("fold = 0")
     moments = _summed(fit, lambda x, y: np.vstack([np.full(x.shape[1], float(len(x))), x.sum(0), (x**2).sum(0)]))
     rng = np.random.Generator(np.random.PCG64(p.seed))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -13,35 +14,44 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, repeats_ids, shared_dir, slices, text_or_empty
+from .common import bounded, discard, materialise, repeats_ids, scratch, shared_dir, slices, text_or_empty
 
-#: A record is this head (document, part, tokens) and the tokens, little-endian.
+#: A record is this head (document, part, tokens; ~tokens if there is no document) and the tokens, little-endian.
 HEAD = "<qii"
 HEAD_BYTES = struct.calcsize(HEAD)
-NO_DOC = -(1 << 63)
+MANIFEST = "manifest.json"
 
-
-#: Rows of a chunk, about, and sequences that a task scatters to shards at once.
-CHUNK_ROWS, BLOCK = 5_000, 32_768
+#: Rows of a chunk, about, sequences that a task scatters to shards at once, and chunks whose sums are added up in one step.
+CHUNK_ROWS, BLOCK, SUMS = 5_000, 32_768, 4_096
 
 
 @dataclass(frozen=True)
 class Params:
-    """length: tokens of a sequence. key: of the order. shard: sequences of a shard file. end, fill: token ids after a text and after a sequence's last token."""
+    """length: tokens of a sequence. key: of the order. shard: sequences of a shard file. end, fill: token ids after a text and after a sequence's last token.
+
+    token_bytes: of an id in a record, 2 or 4; a larger id is an error.
+    """
 
     length: int = 256
     key: str = "epoch-0"
     shard: int = 8_192
     end: int = 50_256
     fill: int = 50_256
+    token_bytes: int = 2
 
     @property
     def stride(self) -> int:
-        return HEAD_BYTES + 2 * self.length
+        return HEAD_BYTES + self.token_bytes * self.length
+
+    @property
+    def kind(self) -> str:
+        return f"<u{self.token_bytes}"
 
 
 class Permutation:
@@ -101,26 +111,46 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-#: Code points of a text that are encoded at once.
+#: Code points of a text that are encoded at once, about.
 PIECE = 1 << 18
+#: Between a letter and a space that a letter follows, a match of the pattern always ends.
+SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})")
+BLANK = regex.compile(r"\p{White_Space}")
+
 
+@lru_cache(maxsize=2)
+def _matcher(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
-def tokens(enc, text: str) -> list[int]:
-    """The ids of a text; one over PIECE is encoded in pieces that end before a line end or a space.
 
-    Where a piece has neither, or white space runs over the cut, ids can differ from those of the whole text; decoding is exact.
-    """
-    if len(text) <= PIECE:
-        return enc.encode_ordinary(text)
+def tokens(enc, text: str, piece: int = PIECE) -> list[int]:
+    """The ids of the whole text. A long one is encoded in pieces that end where a match of the encoding's pattern ends, so the ids are the same."""
     out, at = [], 0
-    while at < len(text):
-        to = min(len(text), at + PIECE)
-        if to < len(text):
-            cut = max(text.rfind("\n", at + 1, to), text.rfind(" ", at + 1, to))
-            to = cut if cut > at else to
-        out += enc.encode_ordinary(text[at:to])
-        at = to
-    return out
+    while len(text) - at > piece:
+        found = SAFE.search(text, at + piece // 2, at + piece)
+        if found:
+            out += enc.encode_ordinary(text[at : found.start()])
+            at = found.start()
+            continue
+        sure, blanks = at, []  # where a match ended that is no white space, and the matches of white space since: cut off, two of them would be one
+        for m in _matcher(enc._pat_str).finditer(text, at):  # no such place: match by match
+            if m.end() - m.start() > piece // 2:
+                out += enc.encode_ordinary(text[at:sure])
+                for own in (*blanks, m.group()):
+                    out += enc._encode_single_piece(own)
+                at = m.end()
+                break
+            if BLANK.match(m.group()[-1]):
+                blanks.append(m.group())
+                continue
+            sure, blanks = m.end(), []
+            if sure - at > piece // 2:
+                out += enc.encode_ordinary(text[at:sure])
+                at = sure
+                break
+        else:
+            break
+    return out + enc.encode_ordinary(text[at:])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -134,7 +164,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def tokenised(docs: DataFrame, p: Params, ranks: str | None) -> DataFrame:
     """(doc_id, chunk, start, n, packed): each text's ids, packed, with the number of its first sequence within its chunk.
 
-    A chunk is a hash class of doc_ids, their number set by the number of rows; in it texts stand by doc_id and twin.
+    A chunk is a hash class of doc_ids and twins, their number set by the number of rows; in it texts stand by doc_id and twin.
     """
     rows = docs.count()
     chunks = max(8, -(-rows // CHUNK_ROWS))
@@ -143,7 +173,7 @@ def tokenised(docs: DataFrame, p: Params, ranks: str | None) -> DataFrame:
         enc, press = load(ranks or default_ranks()), zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for b, _, _ in slices([whole]):
-                own = [np.array([*tokens(enc, t), p.end], dtype="<u2") for t in b.column(0).to_pylist()]
+                own = [_packed([*tokens(enc, t), p.end], p) for t in b.column(0).to_pylist()]
                 packed = [press.compress(x.tobytes()) for x in own]
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (1, 2, 3)), pa.array([len(x) for x in own], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "twin", "chunk", "n", "packed"])
 
@@ -157,48 +187,78 @@ def tokenised(docs: DataFrame, p: Params, ranks: str | None) -> DataFrame:
                 start += -(-n // p.length)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(starts, pa.int64()), b.column(3), b.column(4)], names=["doc_id", "chunk", "start", "n", "packed"])
 
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    chunk = F.pmod(F.xxhash64("doc_id", "twin"), F.lit(chunks)).cast("int")
     own = docs.select("text", "doc_id", "twin", chunk.alias("chunk")).mapInArrow(encode, "doc_id long, twin int, chunk int, n long, packed binary")
     spread = own.repartition("chunk").sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_first(), "twin")
     return materialise(spread.mapInArrow(place, "doc_id long, chunk int, start long, n long, packed binary"), "tokens")
 
 
+def _packed(ids: list[int], p: Params) -> np.ndarray:
+    if max(ids) >= 1 << 8 * p.token_bytes:
+        raise ValueError(f"token id {max(ids)} does not fit Params.token_bytes = {p.token_bytes}")
+    return np.array(ids, dtype=p.kind)
+
+
+def _bases(found: DataFrame, p: Params) -> DataFrame:
+    """(chunk, base): how many sequences stand in the chunks before; sums of SUMS chunks are added up first, then those within."""
+    sums = found.groupBy("chunk").agg(F.sum(F.ceil(F.col("n") / p.length)).alias("own")).withColumn("block", F.floor(F.col("chunk") / SUMS))
+    before = lambda w: F.coalesce(F.sum("own").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("block").agg(F.sum("own").alias("own")).select("block", before(Window.partitionBy(F.lit(0)).orderBy("block")).alias("ahead"))
+    within = sums.withColumn("base", before(Window.partitionBy("block").orderBy("chunk")))
+    return within.join(blocks, "block").select("chunk", (F.col("base") + F.col("ahead")).alias("base"), "own")
+
+
 def write_shards(docs: DataFrame, out_dir: str | None = None, p: Params = Params(), ranks: str | None = None) -> DataFrame:
     """Write every text's tokens as shards and return (doc_id, part, slot, shard, offset, n_tokens, crc32, path), one row per sequence.
 
     A text's tokens, with one end token, are cut into sequences of p.length. All sequences are numbered by
-    chunk (a hash class of doc_ids), doc_id (nulls first; rows that repeat one by text) and part, and a keyed permutation of those numbers gives
+    chunk (a hash class of doc_ids and twins), doc_id (nulls first; rows that repeat one by text) and part, and a keyed permutation of those numbers gives
     each its slot. Shard k has the slots from k * p.shard on, in order, in records of p.stride bytes: slot s
-    is at (s % p.shard) * p.stride. So a reader can resume at any slot, and a lost or repeated task
+    is at (s % p.shard) * p.stride. Each task writes a range of shards. So a reader can resume at any slot, and a lost or repeated task
     writes the same bytes: files are written beside their place and then moved there. Null and empty texts
-    are one sequence of the end token. An empty table writes no shard.
+    are one sequence of the end token. An empty table writes no shard. When all is written, a manifest says how many
+    sequences there are: shards of an older run in the same folder beyond that are not read.
 
-    out_dir: a folder that all executors share, as a URI that pyarrow can write; by default a new one in the shared folder.
+    The files are written by the call; what it returns is a written table. out_dir: a folder that all executors share, as a URI that pyarrow can write; by default a new one in the shared folder.
     The column path names it. Other columns of docs are not looked at. Texts are encoded once; what goes between
-    stages is compressed, and each stage's input goes when its output is written. Only one sum per chunk goes through the driver.
+    stages is compressed, and each stage's input goes when its output is written. Sums of chunks are added up by joins, the total alone is on the driver.
     """
-    out_dir = out_dir or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    spark = docs.sparkSession
+    out_dir = out_dir or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    where, root = fs.FileSystem.from_uri(out_dir)
+    where.create_dir(root, recursive=True)
+    if where.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.NotFound:
+        where.delete_file(f"{root}/{MANIFEST}")
+    with scratch() as keep:
+        packed, total = _packed_shards(docs, p, ranks, keep)
+        index = materialise(packed.mapInArrow(_writer(out_dir, p), "doc_id long, part long, slot long, shard int, offset long, n_tokens int, crc32 long"), "shard-index")
+    manifest = {"total": total, "shard": p.shard, "length": p.length, "token_bytes": p.token_bytes, "key": p.key, "stride": p.stride}
+    with where.open_output_stream(f"{root}/.{MANIFEST}") as f:
+        f.write(json.dumps(manifest).encode())
+    where.move(f"{root}/.{MANIFEST}", f"{root}/{MANIFEST}")
+    return index.withColumn("path", F.lit(out_dir))
+
+
+def _packed_shards(docs: DataFrame, p: Params, ranks: str | None, keep) -> tuple[DataFrame, int]:
+    """(shard, n, packed): the records of each shard in slot order, compressed and written; and the number of all sequences."""
     found = tokenised(_numbered(docs), p, ranks)
-    sums = {r["chunk"]: r["n"] for r in found.groupBy("chunk").agg(F.sum(F.ceil(F.col("n") / p.length)).alias("n")).collect()}
-    total, base = 0, {}
-    for k in sorted(sums):
-        base[k] = total
-        total += sums[k]
-    order = Permutation(total, p.key)
-    sent = docs.sparkSession.sparkContext.broadcast((base, order))
+    bases = keep(materialise(_bases(found, p), "bases"))
+    total = bases.agg(F.sum("own")).first()[0] or 0
+    sent = docs.sparkSession.sparkContext.broadcast(Permutation(total, p.key))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, order = sent.value
+        order = sent.value
         unpress = zstandard.ZstdDecompressor()
         number, records = [], []
         for b in batches:
-            for doc_id, chunk, start, n, packed in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                own = np.frombuffer(unpress.decompress(packed, max_output_size=2 * n), dtype="<u2")
+            for doc_id, base, start, n, packed in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                own = np.frombuffer(unpress.decompress(packed, max_output_size=p.token_bytes * n), dtype=p.kind)
                 for k in range(0, n, p.length):
                     now = own[k : k + p.length]
-                    fill = np.full(p.length - len(now), p.fill, dtype="<u2")
-                    records.append(struct.pack(HEAD, NO_DOC if doc_id is None else doc_id, k // p.length, len(now)) + now.tobytes() + fill.tobytes())
-                    number.append(base[chunk] + start + k // p.length)
+                    fill = np.full(p.length - len(now), p.fill, dtype=p.kind)
+                    head = struct.pack(HEAD, 0, k // p.length, ~len(now)) if doc_id is None else struct.pack(HEAD, doc_id, k // p.length, len(now))
+                    records.append(head + now.tobytes() + fill.tobytes())
+                    number.append(base + start + k // p.length)
                 if len(records) >= BLOCK:
                     yield _blocks(number, records, order, p)
                     number, records = [], []
@@ -206,7 +266,11 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, p: Params = Params
             yield _blocks(number, records, order, p)
 
     shards = max(1, -(-total // p.shard))
-    blocks = found.mapInArrow(cut, "shard int, slots binary, packed binary").repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard")
+    tasks = min(shards, MOST_TASKS)
+    numbered = found.join(bounded(bases.select("chunk", "base"), bases), "chunk").select("doc_id", "base", "start", "n", "packed")
+    blocks = numbered.mapInArrow(cut, "shard int, slots binary, packed binary")
+    # Slots are a permutation, so shards are equally full: ranges of shards are ranges of rows without a sample.
+    ranges = blocks.repartitionById(tasks, (F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("shard")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
@@ -228,14 +292,20 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, p: Params = Params
         if slots:
             yield whole()
 
-    packed = materialise(blocks.mapInArrow(gather, "shard int, n long, packed binary"), "packed-shards")
+    packed = keep(materialise(ranges.mapInArrow(gather, "shard int, n long, packed binary"), "packed-shards"))
     discard(found)
+    return packed, total
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
 
+#: Tasks that write shards at most; each has a range of them.
+MOST_TASKS = 100_000
+
+
+def _writer(out_dir: str, p: Params):
+    """(shard, n, packed) -> the rows of the records written: each shard is written beside its place and moved there."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = fs.FileSystem.from_uri(out_dir)
-        where.create_dir(root, recursive=True)
         unpress = zstandard.ZstdDecompressor()
         for b in batches:
             for shard, n, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -245,9 +315,9 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, p: Params = Params
                     f.write(data)
                 where.move(part, f"{root}/shard-{shard:08d}.bin")
                 at = np.arange(n) * p.stride
-                heads = [struct.unpack_from(HEAD, data, k) for k in at]
+                heads = [_head(data, k) for k in at]
                 cols = [
-                    pa.array([None if h[0] == NO_DOC else h[0] for h in heads], pa.int64()),
+                    pa.array([h[0] for h in heads], pa.int64()),
                     pa.array([h[1] for h in heads], pa.int64()),
                     pa.array(shard * p.shard + np.arange(n)),
                     pa.array(np.full(n, shard, dtype=np.int32)),
@@ -257,8 +327,12 @@ def write_shards(docs: DataFrame, out_dir: str | None = None, p: Params = Params
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "slot", "shard", "offset", "n_tokens", "crc32"])
 
-    out = packed.mapInArrow(write, "doc_id long, part long, slot long, shard int, offset long, n_tokens int, crc32 long")
-    return out.withColumn("path", F.lit(out_dir))
+    return write
+
+
+def _head(data: bytes, at: int) -> tuple[int | None, int, int]:
+    doc_id, part, n = struct.unpack_from(HEAD, data, at)
+    return (None, part, ~n) if n < 0 else (doc_id, part, n)
 
 
 def _blocks(number: list[int], records: list[bytes], order: Permutation, p: Params) -> pa.RecordBatch:
@@ -277,22 +351,20 @@ def _blocks(number: list[int], records: list[bytes], order: Permutation, p: Para
 
 
 def read_from(out_dir: str, slot: int, p: Params = Params()) -> Iterator[tuple[int, int | None, int, np.ndarray]]:
-    """(slot, doc_id, part, tokens) from a slot on, in order; a reader that stopped goes on with the next slot."""
-    from pyarrow import fs
+    """(slot, doc_id, part, tokens) from a slot on, in order; a reader that stopped goes on with the next slot.
 
+    The manifest says where the run ends; without one it has not been written to its end, which is an error.
+    """
     where, root = fs.FileSystem.from_uri(out_dir)
-    while True:
-        path = f"{root}/shard-{slot // p.shard:08d}.bin"
-        if where.get_file_info(path).type == fs.FileType.NotFound:
-            return
-        with where.open_input_file(path) as f:
+    with where.open_input_stream(f"{root}/{MANIFEST}") as f:
+        manifest = json.loads(f.read())
+    if any(manifest[k] != getattr(p, k) for k in ("shard", "length", "token_bytes")):
+        raise ValueError(f"the shards were written with {manifest}")
+    while slot < manifest["total"]:
+        with where.open_input_file(f"{root}/shard-{slot // p.shard:08d}.bin") as f:
             f.seek(slot % p.shard * p.stride)
             data = f.read()
         for at in range(0, len(data), p.stride):
-            doc_id, part, n = struct.unpack_from(HEAD, data, at)
-            yield slot, None if doc_id == NO_DOC else doc_id, part, np.frombuffer(data, "<u2", n, at + HEAD_BYTES)
+            doc_id, part, n = _head(data, at)
+            yield slot, doc_id, part, np.frombuffer(data, p.kind, n, at + HEAD_BYTES)
             slot += 1
-        if len(data) // p.stride < p.shard and slot % p.shard:
-            return
-
-

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import decontaminate, exact_dedup, minhash_dedup, quality, sentencepiece_nbest
-from tidemill.llm.common import materialise, table
+from tidemill.llm.common import discard, materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,8 +23,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return minhash_dedup.deduplicate(docs)
+    """One document of each group of near duplicates: texts of which 0.8 of all five-word shingles are shared."""
+    return minhash_dedup.deduplicate(docs, minhash_dedup.Params(percent=80))
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage but the last is written and read again."""
+    """All stages over documents; every stage but the last is written and read again, and its table goes when the next is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, name.replace(" ", "-"))
+            discard(before)
     return docs

@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark, tmp_path):
                 groups.setdefault("".join(c for c in t or "" if c not in "\t\n\x0b\x0c\r "), []).append((-len(t or ""), i))
             assert got == {min(g)[1] for g in groups.values()}
         elif name.startswith("minhash"):
-            assert got == {i for i, (_, c) in brute(list(before.items())).items() if i == c}
+            assert got == {i for i, (_, c) in brute(list(before.items()), 80).items() if i == c}
         elif name.startswith("benchmark"):
             assert got == {r[0] for r in brute_hits(list(before.items()), items, 10) if not r[5]}
         else:

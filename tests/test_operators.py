@@ -143,7 +143,7 @@ def test_experiment_helpers(spark):
     assert 350 < arms["a"] < 650
     got = df.select(L.cohort("s", "p", 1, "id", 1000, 500, 2500).alias("x")).select("x.*").collect()
     assert {(r.cohort, r.inclusion_bp) for r in got} == {("PROTECTED", 3500), ("TARGETED", 3500), ("NOT_SELECTED", 6500)}
-    assert spark.range(1).select(L.quota_split(F.lit(1001), {"a": 0.5, "b": 0.25}).alias("q")).first().q.a == 500
+    assert spark.range(1).select(L.budget_share(L.daily_budget(F.lit(2.7), F.lit(1000.0)), F.lit(150)).alias("q")).first().q == 2000
     fixed = spark.createDataFrame([("cheap watch",), ("plain",)], "t string").select(L.reformulated(c("t"), [("cheap ", "")])).collect()
     assert [r[0] for r in fixed] == ["watch", None]
 
@@ -194,9 +194,17 @@ def test_transitions_and_replay(spark):
 
 
 def test_concepts_follow_merges(spark):
-    ev = [("a", 1, "MERGED", "b"), ("b", 1, "MERGED", "c"), ("c", 1, "MERGED", "d"), ("d", 1, "CREATED", None), ("e", 1, "MERGED", "a"), ("e", 2, "CORRECTION", None), ("f", 1, "SPLIT", None)]
-    got = {r.concept: (r.canonical, r.state) for r in D.project_concept(spark.createDataFrame(ev, "concept string, seq int, kind string, target string")).collect()}
-    assert got == {"a": ("d", "MERGED"), "b": ("d", "MERGED"), "c": ("d", "MERGED"), "d": ("d", "ACTIVE"), "e": ("e", "ACTIVE"), "f": ("f", "RETIRED")}
+    ev = [(1, "MERGED", "a", "b", None), (2, "MERGED", "b", "c", None), (3, "MERGED", "x", "y", None), (4, "CORRECTION", "c", "d", None), (5, "SPLIT", None, "a", "d"), (6, "MERGED", "a", "z", None), (7, "MERGED", "z", None, None)]
+    events = spark.createDataFrame(ev, "seq int, kind string, source string, target string, split_from string")
+    want = {}
+    for concept in "abcdxz":
+        now = concept
+        for _, kind, source, target, split in ev:
+            if target and (split == now and target == concept if kind == "SPLIT" else source == now):
+                now = target
+        want[concept] = now
+    got = D.project_concept(spark.createDataFrame([(x,) for x in "abcdxz"], "concept string"), events)
+    assert {r.concept: r.canonical for r in got.collect()} == want and want["a"] == "z"
 
 
 def test_retry_backoff(spark):
@@ -216,16 +224,10 @@ def test_rule_tables(spark):
     one = spark.range(1)
     get = lambda x: one.select(x.alias("x")).first().x
     t, f, lit = F.lit(True), F.lit(False), F.lit
-    assert get(D.provider_error(lit(429), lit(None).cast("string"))) == "RATE_LIMIT"
-    assert get(D.provider_error(lit(503), lit("x"))) == "TRANSIENT" and get(D.provider_error(lit(400), lit("Quota gone"))) == "QUOTA"
-    assert get(D.gap_action(F.array(lit("a"), lit("b")), {"x": (("a",), 1.0), "y": (("a", "b"), 1.0)})) == "y"
-    assert get(D.gap_action(F.array(lit("z")), {"x": (("a",), 1.0)})) is None
     assert get(D.assertion_error(t, lit(1.5), t, lit(1))) == "CONFIDENCE" and get(D.assertion_error(t, lit(0.5), t, lit(1))) is None
     assert get(D.rate_pressure(lit("DEFER"), t, lit(10), lit(3), t, t, lit(0.01))) == "WITHHOLD"
-    assert get(D.corpus_of(lit("ADMITTED"))) == "OPERATOR_VISIBLE" and get(D.corpus_of(lit("?"))) == "UNCLASSIFIED"
-    assert get(D.invite_outcome(lit(200), f)) == "IRRELEVANT" and get(D.activity_band(lit(12), lit(3))) == "VERY_ACTIVE"
+    assert get(D.invite_outcome(lit(200), f)) == "IRRELEVANT" and get(D.vitality(lit(70), lit(91))).band == "MEDIUM"
     assert get(D.community_rank(t, lit(2), lit("VALID"), {"VALID": 100})) == 12_100
-    assert get(D.specificity(lit("brand"), {"brand": ("ANCHOR_ONLY", 0.4, 0.6)})).use == "ANCHOR_ONLY" and get(D.specificity(lit("?"), {})).use == "INELIGIBLE"
     assert get(D.burst(lit(3), lit(1))) and not get(D.burst(lit(2), lit(0)))
     assert get(D.staged_backoff(lit(0))) == 30.0 and get(D.staged_backoff(lit(20))) == 3600.0
 

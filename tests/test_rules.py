@@ -46,32 +46,26 @@ def test_decisions(spark):
     gate = dict(killed=False, pending=True, expired=False, state="OK", duplicate=False, spent=450.0, quota=60.0)
     assert one(spark, D.trial_gate(), **gate) == "DAILY_CAP" and one(spark, D.trial_gate(), **(gate | {"spent": 0.0})) == "ALLOWED"
     assert one(spark, D.trial_gate(), **(gate | {"killed": True})) == "KILL_SWITCH"
-    r = one(spark, D.reactivation(lit(10), lit(True), lit(0)))
-    assert r.reactivate and r.reasons == ["FRESH", "CHANGED", "RETRIES_LEFT"]
-    assert not one(spark, D.sleep(["a", "b"]), a=True, b=False) and one(spark, D.sleep(["a", "b"]), a=True, b=True)
+    r = one(spark, D.reactivation(), status="FAILED", validation="", manual=True, new_links=0, activity="DORMANT", age_days=31)
+    assert r.reactivate and r.reasons == ["OPERATOR_NOMINATED_RECHECK", "COMMUNITY_FRESHNESS_INTERVAL_EXPIRED"]
+    assert not one(spark, D.sleep(["a", "b"]), a=True, b=False, marginal_yield=0.01, upper_bound=0.1, threshold=0.2, probe_due=False)
+    assert one(spark, D.sleep(["a", "b"]), a=True, b=True, marginal_yield=0.01, upper_bound=0.1, threshold=0.2, probe_due=False)
     assert one(spark, D.family_identity("a", "b"), a=None, b=7) == "b:7"
     rev = dict(country_rejected=False, terminal=False, operational_failure=False, investigating=True, degraded=True, documents=0)
     assert one(spark, D.review_eligibility(), **rev) == "INVESTIGATING" and one(spark, D.review_eligibility(), **(rev | {"investigating": False, "degraded": False, "documents": 1})) == "ELIGIBLE"
     fn = dict(retrieved=True, provider_failed=False, documents=2, semantic=True, families=1, score=0.2, threshold=0.5)
     assert one(spark, D.false_negative(), **fn) == "CORROBORATION" and one(spark, D.false_negative(), **(fn | {"families": 2})) == "SCORE"
-    q = dict(collection="PROVEN", shaped=False, policy=1, current_policy=2, anchored=False, standalone=False)
-    assert one(spark, D.query_authority(), **q) == ["SHAPE", "POLICY_VERSION", "ANCHOR"]
-    b = dict(leased=True, lease_minutes=20, deadline_minutes=100, failures=0, backoff_minutes=0, runnable=True)
-    assert one(spark, D.backlog_diagnosis(), **b) == "RUNNABLE" and one(spark, D.backlog_diagnosis(), **(b | {"lease_minutes": 3})) == "ACTIVE_LEASE"
-    assert one(spark, D.uncertain_lifecycle(lit(2), 2, lit(False), lit(100))) == "REDISCOVER" and one(spark, D.uncertain_lifecycle(lit(1), 2, lit(False), lit(100))) == "ENRICH"
     assert one(spark, P.lock_state("u", "2024-01-02"), u=None) == "FREE"
 
 
 def test_proposals(spark):
-    cells = spark.createDataFrame([("x", True, 3), ("y", False, 0)], "cell string, gap boolean, observations int")
-    assert [(r.cell, r.gain) for r in L.coverage_gap_actions(cells).collect()] == [("x", 0.5)]
-    con = spark.createDataFrame([("k", "en")], "concept string, source_language string")
-    langs = spark.createDataFrame([("en",), ("de",), ("fr",)], "language string")
-    known = spark.createDataFrame([("k", "fr")], "concept string, language string")
-    assert [(r.concept, r.language) for r in L.cross_language(con, known, langs).collect()] == [("k", "de")]
-    assert one(spark, L.program_priority(), uncertainty=1.0, unexplored=1.0, yield_rate=0.0, cost_share=0.0) == 1.0
-    acts = L.propose_actions(spark.createDataFrame([(1, 0.5, 0.5)], "creator_id int, uncertainty double, confidence double"), [("a", 4.0, 1.0), ("b", 2.0, 2.0)]).collect()
-    assert {r.action: r.value for r in acts} == {"a": 1.0, "b": 0.5}
+    cells = spark.createDataFrame([("x", True, "ACTIVE", 45, None, 0.5, 0.4), ("y", False, "ACTIVE", 1, 0.1, 0.1, 0.1)], "cell string, reachable boolean, lifecycle string, days_since_probe int, estimated_unseen double, marginal_yield double, uncertainty double")
+    assert [(r.cell, r.incremental, r.coverage, r.priority) for r in L.coverage_gap_actions(cells).collect()] == [("x", 0.2, 0.9, 3)]
+    own = spark.createDataFrame([("k", "Alte Wörter", 2, "SUPPORTED"), ("k", "neu", 2, "SUPPORTED"), ("k", "one", 1, "SUPPORTED"), ("k", "no", 3, "ABSTAIN")], "concept string, surface string, families int, capability string")
+    known = spark.createDataFrame([(" alte  WÖRTER ",)], "surface string")
+    assert [r.surface for r in L.cross_language(own, known).collect()] == ["neu"]
+    acts = L.propose_actions(spark.createDataFrame([(1, 0.5, None, 0.5, False)], "creator_id int, uncertainty double, unexplored double, confidence double, unresolved boolean")).collect()
+    assert len(acts) == 4 and {r.action: r.information for r in acts}["INSPECT_COLLABORATOR"] == 0.3
 
 
 def test_readers(spark, tmp_path):

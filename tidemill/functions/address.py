@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import parse_qsl, unquote, urlencode, urlsplit, urlunsplit
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,23 +13,21 @@ from pyspark.sql import types as T
 from .numbers import col
 from .text import collapse
 
-#: Endings of addresses that are files of a page and not pages; query keys that only track.
+#: Endings of addresses that are files of a page and not pages; query keys that only track; how pages write some signs.
 ASSETS = r"(?i)\.(png|jpg|jpeg|gif|webp|svg|css|js|wasm|ico|woff|woff2|ttf|eot)(\?.*)?$"
-TRACKING = re.compile(r"^utm_|^(fbclid|gclid|ref|feature)$", re.I)
+TRACKING = r"(?i)^utm_|^(fbclid|gclid|ref|feature)$"
+WRITTEN = ((r"(?i)\\/|\\u002f|%2f", "/"), (r"(?i)\\u003a|%3a", ":"), (r"(?i)\\u0026|&amp;", "&"))
 
 
 def extract(x, excluded: tuple[str, ...] = ()) -> Column:
-    """Distinct http addresses of a text or page, in order, without trailing punctuation, assets and excluded hosts."""
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(col(x), r"(?i)\\/|\\u002f|%2f", "/"), r"(?i)\\u003a|%3a", ":"), r"(?i)\\u0026", "&"), "&amp;", "&")
-    found = F.transform(F.regexp_extract_all(clean, F.lit(r"""((?i:https?)://[^\s"'<>)\\]+)"""), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,);:><\"]+$", ""))
-    keep = F.filter(found, lambda u: ~u.rlike(ASSETS))
-    for host in excluded:
-        keep = _without(keep, host)
-    return F.array_distinct(keep)
+    """Distinct http addresses of a text or page, in order, without trailing punctuation, assets and excluded hosts.
 
-
-def _without(found: Column, host: str) -> Column:
-    return F.filter(found, lambda u: ~F.lower(u).contains(host))
+    The text is parted at what no address holds; of each part what starts with a scheme is an address.
+    """
+    parts = F.split(reduce(lambda t, w: F.regexp_replace(t, *w), WRITTEN, col(x)), r"""[\s"'<>)\\]+""")
+    found = F.transform(parts, lambda t: F.regexp_replace(F.regexp_extract(t, r"(?is)https?://.+", 0), r"[.,;:]+$", ""))
+    unwanted = lambda u: reduce(lambda a, b: a | b, [F.contains(F.lower(u), F.lit(h)) for h in excluded], u.rlike(ASSETS))
+    return F.array_distinct(F.filter(found, lambda u: u.rlike(r"(?i)^https?://.") & ~unwanted(u)))
 
 
 def plain(x) -> Column:
@@ -39,37 +37,50 @@ def plain(x) -> Column:
     return F.when(host != "", F.concat(F.lit("https://"), host, path))
 
 
-def normalize_one(raw: str | None, wrappers: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> str | None:
-    if not raw:
-        return None
-    try:
-        u = urlsplit(raw if re.match(r"(?i)https?://", raw) else f"https://{raw}")
-        host = (u.hostname or "").lower()
-        if u.path == "/redirect" and any(host == w or host.endswith("." + w) for w in wrappers):
-            target = dict(parse_qsl(u.query)).get("q")
-            if not target:
-                return None
-            for _ in range(2):
-                target = unquote(target)
-            u = urlsplit(target)
-            host = (u.hostname or "").lower()
-        if u.scheme.lower() not in ("http", "https") or not host or "." not in host or any(host == x or host.endswith("." + x) for x in (*wrappers, *excluded)):
-            return None
-        query = [(k, v) for k, v in parse_qsl(u.query, keep_blank_values=True) if not TRACKING.search(k)]
-        at = host.encode("idna").decode() + (f":{u.port}" if u.port else "")
-        return urlunsplit((u.scheme.lower(), at, re.sub(r"/$", "", u.path) or "/", urlencode(query), ""))
-    except (ValueError, UnicodeError):
-        return None
-
-
-def normalizer(wrappers: tuple[str, ...] = (), excluded: tuple[str, ...] = ()):
-    """A pandas UDF for T19: redirects unwrapped, tracking keys, fragment and trailing slash gone, host in IDNA."""
-
-    @F.pandas_udf(T.StringType())
-    def normalize(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: normalize_one(x, wrappers, excluded))
-
-    return normalize
+def _parts(url: Column) -> Column:
+    """Scheme, host, port, path and query of an absolute address; empty strings where there is none."""
+    piece = lambda pattern, k=1: F.regexp_extract(url, rf"(?is)^{pattern}", k)
+    at = F.regexp_replace(piece("[a-z]+://([^/?#]*)"), "^.*@", "")
+    return F.struct(
+        F.lower(piece("([a-z]+)://")).alias("scheme"),
+        F.lower(F.regexp_replace(at, ":[0-9]*$", "")).alias("host"),
+        F.regexp_extract(at, ":([0-9]+)$", 1).alias("port"),
+        piece("[a-z]+://[^/?#]*([^?#]*)").alias("path"),
+        piece(r"[^?#]*\?([^#]*)").alias("query"),
+    )
+
+
+def _pairs(query: Column) -> Column:
+    """Decoded keys and values of a query, in order."""
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    return F.transform(F.filter(F.split(query, "&"), lambda kv: kv != ""), lambda kv: F.struct(decoded(F.substring_index(kv, "=", 1)).alias("key"), decoded(F.when(F.contains(kv, F.lit("=")), F.regexp_replace(kv, "^[^=]*=", "")).otherwise("")).alias("value")))
+
+
+def _of(host: Column, names: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [(host == n) | host.endswith("." + n) for n in names], F.lit(False))
+
+
+def normalized(x, wrappers: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> Column:
+    """The normal form of an address (T19): redirects of wrappers unwrapped, host in ASCII, tracking keys, fragment and trailing slash gone.
+
+    Null for what is no http address, has a host without a dot, or one of wrappers or excluded. International names are the
+    platform's own IDN conversion; no Python runs.
+    """
+    raw = col(x)
+    own = _parts(F.when(raw.rlike(r"(?i)^[a-z]+://"), raw).otherwise(F.concat(F.lit("https://"), raw)))
+    target = F.try_element_at(F.filter(_pairs(own["query"]), lambda kv: kv["key"] == "q"), F.lit(-1))["value"]
+    for _ in range(2):
+        target = F.coalesce(F.try_url_decode(target), target)
+    wrapped = (own["path"] == "/redirect") & _of(own["host"], wrappers)
+    u = F.when(wrapped, _parts(target)).otherwise(own)
+    host = u["host"]
+    ok = u["scheme"].isin("http", "https") & F.contains(host, F.lit(".")) & ~host.rlike(r"[\[\]\s]") & ~_of(host, (*wrappers, *excluded))
+    ascii_host = F.when(host.rlike(r"^[\x00-\x7f]*$"), host).otherwise(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host))
+    kept = F.filter(_pairs(u["query"]), lambda kv: ~kv["key"].rlike(TRACKING))
+    query = F.array_join(F.transform(kept, lambda kv: F.concat(F.url_encode(kv["key"]), F.lit("="), F.url_encode(kv["value"]))), "&")
+    path = F.regexp_replace(u["path"], "/$", "")
+    out = F.concat(u["scheme"], F.lit("://"), ascii_host, F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(""), F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when((raw != "") & ok, out)
 
 
 def locator(x, site: str) -> Column:
@@ -91,14 +102,32 @@ def noise_reason(host, title, domains: tuple[str, ...], titles: str) -> Column:
     return F.when(bad, "EXCLUDED_DOMAIN").when(col(title).rlike(titles), "NOISE_TITLE")
 
 
-#: Path words that are no invite codes.
-RESERVED = ("login", "register", "app", "channels", "download", "terms", "privacy", "blog", "invite", "discover")
-
-
-def invites(x, hosts: str = r"(?:discord\.gg|discord(?:app)?\.com/invite)") -> Column:
-    """Distinct invite codes of a text, 2 to 128 characters, no reserved words."""
-    found = F.regexp_extract_all(col(x), F.lit(rf"(?i:{hosts})/([A-Za-z0-9-]{{2,128}})(?![A-Za-z0-9-])"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda c: ~F.lower(c).isin(*RESERVED)))
+#: Path words that are no invite codes; hosts of invites, of redirects to them, and of their directory.
+RESERVED = tuple("channels guilds store download nitro login register api widget terms privacy branding jobs before after next prev index home about contact faq support invite oauth2 template".split())
+INVITE_HOSTS = (
+    ("NATIVE_INVITE", r"(?:discord\.gg|discord\.com/invite|discordapp\.com/invite|discord\.app/invite)"),
+    ("ALTERNATIVE_REDIRECT", r"(?:dsc\.gg|discord\.me|discord\.io)"),
+    ("DIRECTORY_PAGE", r"disboard\.org/server"),
+)
+
+
+def invites(x) -> Column:
+    """Distinct (kind, locator, code) of the invites that a text has (T21): native ones by their code, 2 to 128 characters and no
+    reserved word; alternative and directory ones by their address, without a code. Natives come first."""
+    clean = reduce(lambda t, w: F.regexp_replace(t, *w), WRITTEN, col(x))
+    code = lambda u: F.lower(F.substring_index(u, "/", -1))
+    row = lambda kind, locator, code: F.struct(F.lit(kind).alias("kind"), locator.alias("locator"), code.alias("code"))
+    at = {kind: F.regexp_extract_all(clean, F.lit(rf"(?i)((?:https?://)?(?:www\.)?{host}/[^\s\"'<>)\\/?#&]+)"), F.lit(1)) for kind, host in INVITE_HOSTS}
+    native, *others = at
+    good = F.filter(at[native], lambda u: F.length(code(u)).between(2, 128) & ~code(u).isin(*RESERVED))
+    found = [F.transform(good, lambda u: row(native, F.concat(F.lit("discord:"), code(u)), code(u)))]
+    for kind in others:
+        found.append(F.transform(at[kind], partial(_bare, row, kind)))
+    return F.array_distinct(F.concat(*found))
+
+
+def _bare(row, kind: str, u: Column) -> Column:
+    return row(kind, F.lower(u), F.lit(None).cast("string"))
 
 
 def identifier(namespace, value) -> Column:

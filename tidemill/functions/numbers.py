@@ -136,6 +136,7 @@ def outcome_reward(outcome, randomized, propensity) -> Column:
     return F.struct(F.coalesce(table[col(outcome)], F.lit(0.0)).alias("reward"), F.coalesce(col(randomized) | ((p > 0) & (p <= 1)), F.lit(False)).alias("eligible"))
 
 
-def capacity(limit, used, unit_cost, most) -> Column:
-    """Whole operations that what is left of a budget pays for, between 0 and most."""
-    return F.greatest(F.lit(0), F.least(col(most).cast("long"), F.floor((col(limit) - col(used)) / F.greatest(F.lit(1), col(unit_cost)))))
+def capacity(batch, target_depth, depth) -> Column:
+    """How many jobs may be added: a batch, or what room the queue has, never below 0."""
+    whole = lambda x: F.greatest(F.lit(0), F.floor(x)).cast("long")
+    return F.least(whole(col(batch)), whole(col(target_depth) - col(depth)))

@@ -129,8 +129,8 @@ def signals(x, families: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(col(x).rlike(p), F.lit(n)) for n, p in families.items()]))
 
 
-#: Wording that tries to steer a reader that is a program.
-INJECTION = r"(?i)ignore (?:all |any )?(?:previous|prior|above) (?:instructions|prompts)|system prompt|you are now|disregard (?:all|the) (?:instructions|rules)"
+#: Fixed value: wording that tries to steer a reader that is a program, between word bounds.
+INJECTION = r"(?i)(?:^|[^0-9A-Za-z_])(?:ignore (?:all |previous )?instructions|system prompt|developer message|jailbreak|respond with)(?:[^0-9A-Za-z_]|$)"
 
 
 def injected(x) -> Column:
@@ -168,10 +168,18 @@ def script_compatible(x, allowed: list[str]) -> Column:
     return F.forall(scripts(x), lambda s: s.isin(allowed))
 
 
-def boilerplate(x, stopwords: list[str]) -> Column:
-    """Nothing but stopwords, an address, affiliate wording, or digits."""
-    t = collapse(x)
-    return t.isNull() | (t == "") | t.rlike(r"https?://|www\.|affiliate|promo code|discount") | t.rlike(r"^[\d\s.,]+$") | F.forall(F.split(t, " "), lambda w: w.isin(stopwords))
+#: Words that name nothing, and wording of sponsors, addresses and calls to follow.
+GENERIC_WORDS = tuple("the and for that this with you your from have de da do com para uma por que em os as und mit das dem der die für ein eine einen les des dans pour sur une avec to my in on at by".split())
+PROMOTION = (
+    r"https?://", r"www\.", r"\.com|\.org|\.net|\.io|\.br|\.de|\.jp|\.uk", "code|cupom|discount|desconto|rabatt|promo", "instagram|telegram|whatsapp|twitter|facebook|tiktok|discord",
+    "giveaway|sorteio|vlog|lifestyle|affiliate|patroc[ií]nio", "subscribe|channel|video|watch|like|follow|link|below|inscreva|canal|curta|abonnieren|abonnent",
+)
+
+
+def boilerplate(x, stopwords: tuple[str, ...] = GENERIC_WORDS) -> Column:
+    """Nothing that a market calls by: under 2 or over 80 characters, all generic words, promotion, or a number of one or two digits."""
+    t = F.coalesce(collapse(x), F.lit(""))
+    return ~F.length(t).between(2, 80) | F.forall(F.split(t, " "), lambda w: w.isin(*stopwords)) | t.rlike("(?i)" + "|".join(PROMOTION)) | t.rlike("^[0-9]{1,2}$")
 
 
 def query_variants(countries: DataFrame, templates: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..streaming.jobs import shared_folder
+from ..session import shared_folder
 from .relational import latest
 
 c = F.col

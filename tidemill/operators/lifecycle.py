@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, clamp01, js_round, ratio
+from ..session import shared_folder
 from .relational import latest
 
 
@@ -154,16 +157,47 @@ def trial_gate(cap: float = 500.0) -> Column:
     return rules((c("killed"), "KILL_SWITCH"), (~c("pending"), "NOT_PENDING"), (c("expired"), "EXPIRED"), (c("state") == "HARMFUL", "HARMFUL"), (c("duplicate"), "DUPLICATE"), (c("spent") + c("quota") > cap, "DAILY_CAP"), otherwise="ALLOWED")
 
 
-def reactivation(age_days: Column, changed: Column, retries: Column, most: int = 3, fresh: int = 30) -> Column:
-    """P19. (reactivate, reasons)."""
-    why = reasons((age_days <= fresh, "FRESH"), (changed, "CHANGED"), (retries < most, "RETRIES_LEFT"))
-    return F.struct(((age_days <= fresh) & changed & (retries < most)).alias("reactivate"), why.alias("reasons"))
+def reactivation() -> Column:
+    """P19. (reactivate, reasons) of status, validation, manual, new_links, activity and age_days (null: never checked).
 
+    Only a failed scan can be taken up again, unless it ended in a completed decision; then any one reason does.
+    """
+    none = lambda why: F.struct(F.lit(False).alias("reactivate"), F.array(F.lit(why)).alias("reasons"))
+    why = reasons(
+        (c("manual"), "OPERATOR_NOMINATED_RECHECK"),
+        (c("new_links") > 0, "NEWLY_OBSERVED_EXTERNAL_LINKS"),
+        (c("activity").isin("VERY_ACTIVE", "ACTIVE"), "HIGH_CREATOR_ACTIVITY"),
+        (c("age_days") >= 30, "COMMUNITY_FRESHNESS_INTERVAL_EXPIRED"),
+        (c("age_days").isNull(), "NO_PRIOR_CHECK_TIMESTAMP"),
+    )
+    some = F.struct(F.lit(True).alias("reactivate"), why.alias("reasons"))
+    decided = (c("status") == "FAILED_PERMANENT") & F.coalesce(c("validation") == "COMPLETED", F.lit(False))
+    return (
+        F.when(~F.coalesce(c("status").isin("FAILED", "FAILED_PERMANENT"), F.lit(False)), none("SCAN_STATUS_NOT_RECOVERABLE_FAILURE"))
+        .when(decided, none("SEMANTIC_TERMINAL_EVIDENCE_PRESERVED"))
+        .when(F.size(why) == 0, none("NO_REACTIVATION_TRIGGER_MATCHED"))
+        .otherwise(some)
+    )
 
-def specificity(kind: Column, table: dict[str, tuple[str, float, float]]) -> Column:
-    """P22. (use, specificity, ambiguity) of a class of term; unknown classes are ineligible."""
-    row = lambda v: F.struct(F.lit(v[0]).alias("use"), F.lit(v[1]).alias("specificity"), F.lit(v[2]).alias("ambiguity"))
-    return reduce(lambda w, kv: w.when(kind == kv[0], row(kv[1])), table.items(), F.when(F.lit(False), row(("INELIGIBLE", 0.0, 1.0)))).otherwise(row(("INELIGIBLE", 0.0, 1.0)))
+
+#: Classes of terms with their use, specificity and ambiguity, where they are governed and where not.
+TERM_CLASSES = (
+    (("INSTRUMENT", "PLATFORM", "BROKER", "PROPFIRM"), ("STANDALONE", 95, 5), ("MODIFIER_ONLY", 62, 48)),
+    (("METHOD", "STRATEGY"), ("STANDALONE", 82, 18), ("MODIFIER_ONLY", 58, 52)),
+    (("MARKET", "SESSION", "TEMPORAL", "GEOGRAPHIC"), ("MODIFIER_ONLY", 42, 72), ("MODIFIER_ONLY", 42, 72)),
+    (("FORMAT", "TOPIC", "ENTITY", "NEIGHBORHOOD", "COVERAGE", "LEARNED"), ("MODIFIER_ONLY", 45, 65), ("MODIFIER_ONLY", 45, 65)),
+)
+
+
+def specificity() -> Column:
+    """P22. (eligibility, specificity, ambiguity) of a term of kind, governed, proven, validated and sources."""
+    row = lambda use, spec, amb: F.struct(F.lit(use).alias("eligibility"), F.lit(spec).alias("specificity"), F.lit(amb).alias("ambiguity"))
+    kind = F.upper("kind")
+    proven = (kind == "CONCEPT") & c("governed") & c("proven") & c("validated") & (c("sources") >= 2)
+    out = F.when(proven, row("STANDALONE", 80, 20))
+    for kinds, governed, other in TERM_CLASSES:
+        out = out.when(kind.isin(*kinds) & c("governed"), row(*governed)).when(kind.isin(*kinds), row(*other))
+    return out.otherwise(row("INELIGIBLE", 20, 80))
 
 
 #: States of a catalog entry and those that may follow; likewise of an admission, a review and an investigation.
@@ -197,9 +231,13 @@ def verify_projection(replayed: DataFrame, stored: DataFrame, key: str) -> DataF
     return a.join(b, key, "full_outer").where(~(c("replayed_state").eqNullSafe(c("stored_state")) & c("replayed_version").eqNullSafe(c("stored_version"))))
 
 
-def sleep(predicates: list[str]) -> Column:
-    """D17. Sleep only if every predicate holds."""
-    return reduce(lambda a, b: a & b, [F.coalesce(c(p), F.lit(False)) for p in predicates])
+def sleep(predicates: list[str], least_yield: float = 0.05) -> Column:
+    """D17. Sleep only if every predicate holds, the yield is small, its upper bound below what it costs, and no probe is due.
+
+    Of the predicates, marginal_yield, upper_bound, threshold and probe_due.
+    """
+    stable = (c("marginal_yield") < least_yield) & (c("upper_bound") < c("threshold")) & ~c("probe_due")
+    return reduce(lambda a, b: a & b, [F.coalesce(c(p), F.lit(False)) for p in predicates], F.coalesce(stable, F.lit(False)))
 
 
 def burst(current: Column, baseline: Column) -> Column:
@@ -232,10 +270,16 @@ def admission() -> Column:
     )
 
 
-def resolution(evidence: DataFrame, key: str) -> DataFrame:
-    """D20, D21. Disposition of an identity from the strength and number of its independent families."""
-    g = evidence.groupBy(key).agg(F.countDistinct("family").alias("families"), F.max("strength").alias("strength"), F.max(c("conflict").cast("int")).alias("_conflict"))
-    return g.withColumn("disposition", rules((c("_conflict") == 1, "CONFLICT"), ((c("strength") >= 0.9) & (c("families") >= 2), "RESOLVED"), (c("strength") >= 0.5, "REVIEW"), otherwise="UNRESOLVED")).drop("_conflict")
+def resolution(matches: DataFrame, key: str) -> DataFrame:
+    """D20. What an identity's matches (entity, family, source, approved, native) say: its one approved entity, if independent sources agree.
+
+    Several approved entities are a conflict; one is exact by a native identifier, or proposed with two families and two sources.
+    """
+    approved = F.when(c("approved"), c("entity"))
+    g = matches.groupBy(key).agg(F.countDistinct(approved).alias("entities"), F.countDistinct("family").alias("families"), F.countDistinct("source").alias("sources"), F.min(approved).alias("entity"), F.max("native").alias("_native"))
+    one = c("entities") == 1
+    kind = rules((c("entities") > 1, "ABSTAIN_CONFLICT"), (c("_native") & one, "EXACT_NATIVE"), (one & (c("families") >= 2) & (c("sources") >= 2), "PROPOSE_LINK"), otherwise="ABSTAIN_INSUFFICIENT")
+    return g.select(key, "families", "sources", kind.alias("disposition"), F.when(one, c("entity")).alias("entity"))
 
 
 def family_identity(*columns: str) -> Column:
@@ -271,17 +315,24 @@ def promotion(insufficient: Column, against: Column) -> Column:
     return rules((insufficient, "INSUFFICIENT_EVIDENCE"), (F.size(against) > 0, "REJECT"), otherwise="PROMOTE")
 
 
-def project_concept(events: DataFrame, key: str = "concept", sequence: str = "seq") -> DataFrame:
-    """D24. Where each concept stands after merges, splits and corrections: the end of its chain of merges.
+def project_concept(concepts: DataFrame, events: DataFrame) -> DataFrame:
+    """D24. Where each concept (concept) stands after all events (seq, kind, source, target, split_from) in order: concept, canonical.
 
-    Chains are followed by joining pointers to pointers, so their length halves each time; at most 32 times.
+    A merge or a correction of what a concept stands for moves it to their target; a split gives it back its own name. Each
+    step takes every concept to its next event, so there are as many steps as the longest history; each is written.
     """
-    last = latest(events, [key], [F.desc(sequence)]).select(key, "kind", "target")
-    state = last.select(c(key).alias("concept"), F.when(c("kind") == "MERGED", c("target")).otherwise(c(key)).alias("points"), "kind")
-    for _ in range(5):
-        to = state.select(c("concept").alias("points"), c("points").alias("further"))
-        state = state.join(to, "points", "left").select("concept", F.coalesce("further", "points").alias("points"), "kind")
-    return state.select("concept", c("points").alias("canonical"), rules((c("kind") == "SPLIT", "RETIRED"), (c("kind") == "MERGED", "MERGED"), otherwise="ACTIVE").alias("state"))
+    spark = concepts.sparkSession
+    at = f"{shared_folder(spark)}/concepts-{uuid.uuid4().hex}"
+    moves = events.select("seq", F.when(c("kind") == "SPLIT", c("split_from")).otherwise(c("source")).alias("current"), (c("kind") == "SPLIT").alias("split"), "target").where("current IS NOT NULL AND target IS NOT NULL")
+    state = concepts.select("concept", c("concept").alias("canonical"), F.lit(-1).cast("long").alias("at"))
+    for step in count():
+        state.write.parquet(f"{at}/{step}")
+        state = spark.read.schema(state.schema).parquet(f"{at}/{step}")
+        ahead = state.join(moves, (c("canonical") == c("current")) & (c("seq") > c("at")) & (~c("split") | (c("target") == c("concept"))))
+        ahead = ahead.groupBy("concept").agg(F.min(F.struct("seq", "target")).alias("next"))
+        if ahead.isEmpty():
+            return state.select("concept", "canonical")
+        state = state.join(ahead, "concept", "left").select("concept", F.coalesce("next.target", "canonical").alias("canonical"), F.coalesce("next.seq", F.lit(1 << 62)).cast("long").alias("at"))
 
 
 def best_first(df: DataFrame, key: list[str], score: Column, ordinal: str) -> DataFrame:
@@ -336,13 +387,21 @@ def review_eligibility() -> Column:
     return rules((c("country_rejected"), "COUNTRY"), (c("terminal"), "TERMINAL"), (c("operational_failure"), "OPERATIONAL"), (c("investigating"), "INVESTIGATING"), (c("degraded"), "DEGRADED"), (c("documents") < 1, "NO_EVIDENCE"), otherwise="ELIGIBLE")
 
 
-#: The corpus that an admission state is shown in.
-CORPUS = {"ADMITTED": "OPERATOR_VISIBLE", "REVIEW": "REVIEW", "WITHHELD": "DIAGNOSTIC", "DEFERRED": "PENDING"}
+#: The corpus that an admission state is shown in, and why; all others are withheld.
+CORPUS = {
+    "ADMITTED_CONFIRMED": ("CONFIRMED", "CONFIRMED_CORPUS"),
+    "ADMITTED_REVIEW": ("REVIEW", "REVIEW_CORPUS"),
+    "WITHHELD_INVESTIGATING": ("INVESTIGATING", "INVESTIGATION_IN_PROGRESS"),
+    "NOT_EVALUATED": ("DISCOVERY_CANDIDATES", "CANDIDATE_NOT_ADMITTED"),
+    "LEGACY_VISIBLE": ("DISCOVERY_CANDIDATES", "CANDIDATE_NOT_ADMITTED"),
+}
 
 
 def corpus_of(state: Column) -> Column:
-    """D30."""
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in CORPUS.items() for x in kv])[state], F.lit("UNCLASSIFIED"))
+    """D30. (corpus, reason)."""
+    pair = lambda v: F.struct(F.lit(v[0]).alias("corpus"), F.lit(v[1]).alias("reason"))
+    known = reduce(lambda w, kv: w.when(state == kv[0], pair(kv[1])), CORPUS.items(), F.when(F.lit(False), pair(("", ""))))
+    return known.otherwise(pair(("WITHHELD", "WITHHELD_BY_ADMISSION_POLICY")))
 
 
 def false_negative() -> Column:
@@ -351,36 +410,135 @@ def false_negative() -> Column:
 
 
 def query_authority() -> Column:
-    """D35. Why a query may not run by itself; empty if it may."""
-    return reasons((c("collection") == "REJECTED", "COLLECTION"), (~c("shaped"), "SHAPE"), (c("policy") != c("current_policy"), "POLICY_VERSION"), (~c("anchored") & ~c("standalone"), "ANCHOR"))
+    """D35. The first reason that a query may not run by itself, or that it may.
+
+    Of collection, shaped, policy (null: none), current_policy, eligibility, atoms, stale_atoms, anchor, template, primary_type, explicit.
+    """
+    allowed = lambda name: F.coalesce(c(name).isin("STANDALONE", "ANCHOR_ONLY"), F.lit(False))
+    some = c("atoms") > 0
+    lone = (c("template") == "SINGLE_ATOM") & (F.upper("primary_type") == "METHOD") & ~c("explicit")
+    return rules(
+        (c("collection") == "REJECTED", "QUERY_ALREADY_REJECTED"),
+        (~c("shaped"), "CURRENT_RETRIEVAL_SHAPE_FAILED"),
+        (c("policy").isNull(), "CURRENT_RETRIEVAL_PROVENANCE_MISSING"),
+        (c("policy") != c("current_policy"), "STALE_RETRIEVAL_POLICY_VERSION"),
+        (~allowed("eligibility"), "PRIMARY_ATOM_NOT_AUTHORIZED_FOR_RETRIEVAL"),
+        (some & (c("stale_atoms") > 0), "ATOM_POLICY_PROVENANCE_STALE"),
+        (some & ~allowed("anchor"), "QUERY_ANCHOR_NOT_CURRENTLY_AUTHORIZED"),
+        (some & F.coalesce(lone, F.lit(False)), "STANDALONE_METHOD_REQUIRES_CONCRETE_TRADING_ANCHOR"),
+        (~some & ~F.coalesce(c("template").isin("SINGLE_ATOM", "ORGANIC_STANDALONE"), F.lit(False)), "COMPOUND_QUERY_ATOM_PROVENANCE_MISSING"),
+        otherwise="CURRENT_RETRIEVAL_POLICY_SATISFIED",
+    )
+
 
+def _says(x, pattern: str) -> Column:
+    return F.coalesce(x.rlike(pattern), F.lit(False))
 
-def provider_error(status: Column, message: Column) -> Column:
-    """D36, D46. Class of a failed call."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return rules((status == 429, "RATE_LIMIT"), (m.rlike("quota|limit exceeded"), "QUOTA"), (status.isin(401, 403), "AUTH"), (status == 404, "NOT_FOUND"), ((status >= 500) | m.rlike("timeout|timed out|reset|unavailable"), "TRANSIENT"), (status >= 400, "INVALID_REQUEST"), otherwise="UNKNOWN")
+
+def provider_error(name: Column, status: Column, message: Column) -> Column:
+    """D36. (class, retryable) of a failed provider call; what is not known is transient."""
+    kind = lambda v, again: F.struct(F.lit(v).alias("class"), F.lit(again).alias("retryable"))
+    code = lambda *v: F.coalesce(status.isin(*v), F.lit(False))
+    return (
+        F.when(F.coalesce(name == "AbortError", F.lit(False)), kind("CANCELLED", True))
+        .when(code(429) | _says(message, "(?i)429|RESOURCE_EXHAUSTED|rate.?limit|quota"), kind("RATE_LIMIT", True))
+        .when(code(408, 500, 502, 503, 504) | _says(message, "(?i)ECONNRESET|ETIMEDOUT|high demand|temporar"), kind("TRANSIENT", True))
+        .when(code(400, 404, 422), kind("PERMANENT_INPUT", False))
+        .otherwise(kind("TRANSIENT", True))
+    )
+
+
+def crawler_failure(status: Column, message: Column) -> Column:
+    """D46. Class of a failed page visit."""
+    code = lambda *v: F.coalesce(status.isin(*v), F.lit(False))
+    number = lambda v: rf"(^|[^0-9A-Za-z_]){v}([^0-9A-Za-z_]|$)"
+    return rules(
+        (code(429) | _says(message, f"(?i){number(429)}|too many requests|rate.?limit"), "RATE_LIMITED"),
+        (code(401, 403) | _says(message, f"(?i){number(403)}|{number(401)}|request blocked|access denied|forbidden|captcha|bot protection|cloudflare"), "BLOCKED"),
+        (code(408, 425, 500, 502, 503, 504) | _says(message, "(?i)timeout|timed out|econnreset|econnrefused|eai_again|enotfound|network|navigation.*failed|browser.*closed|target.*closed"), "TRANSIENT"),
+        otherwise="OTHER",
+    )
+
+
+def crawler_delay(kind: Column, retries: Column) -> Column:
+    """D46. Milliseconds before another visit: doubled with each, at most 8 s after a rate limit and 4 s after other failures; null for no other."""
+    doubled = lambda base, most: F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), F.greatest(F.lit(0), retries)))
+    return F.when(kind == "RATE_LIMITED", doubled(1000, 8000)).when(kind.isin("BLOCKED", "TRANSIENT"), doubled(500, 4000))
+
+
+#: Fixed value: what a failure says that is about running and not about evidence.
+OPERATIONAL = "(?i)(provider|timeout|rate.?limit|quota|cooldown|transient|temporar|econn|eai_again|429|503|502|504|credentials|cancel)"
 
 
 def backlog_diagnosis() -> Column:
-    """D39, R04. What a waiting job waits for; a lease of over 15 minutes counts as lost."""
-    return rules((c("leased") & (c("lease_minutes") < 15), "ACTIVE_LEASE"), (c("deadline_minutes") < 30, "DEADLINE_RISK"), (c("failures") > 0, "OPERATIONAL_RETRY"), (c("backoff_minutes") > 0, "BACKOFF"), (c("runnable"), "RUNNABLE"), otherwise="UNKNOWN")
+    """D39. What a waiting job waits for. Of status, locked_by, locked_at, investigation, deadline_at, step, failure, run_after, runnable, now."""
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    return rules(
+        (sure(c("status") == "RUNNING") | (c("locked_by").isNotNull() & c("locked_at").isNotNull()), "ACTIVE_LEASE"),
+        (sure((c("investigation") == "ACTIVE") & (c("deadline_at") <= c("now"))), "INVESTIGATION_DEADLINE_RISK"),
+        (sure(c("step") == "RETRYING") & _says(c("failure"), OPERATIONAL), "OPERATIONAL_RETRY"),
+        (sure((c("status") == "PENDING") & (c("run_after") > c("now"))), "PROVIDER_BACKOFF"),
+        (sure((c("status") == "PENDING") & c("runnable")), "RUNNABLE_WAITING"),
+        otherwise="UNKNOWN",
+    )
+
+
+def uncertain_lifecycle() -> Column:
+    """D37. (scan_status, trading_status, enqueue) of wants_review, authority, status and family: review only for an ambiguity that serving may ask about."""
+    row = lambda scan, trade, again: F.struct(F.lit(scan).alias("scan_status"), F.lit(trade).alias("trading_status"), F.lit(again).alias("enqueue"))
+    ask = c("wants_review") & c("authority") & (c("status") == "ELIGIBLE") & (c("family") == "HUMAN_AMBIGUITY")
+    return F.when(F.coalesce(ask, F.lit(False)), row("NEEDS_REVIEW", "NEEDS_REVIEW", False)).otherwise(row("ENRICHMENT_PENDING", "UNCERTAIN", True))
+
+
+#: Actions that close gaps, what they resolve, their provider and review costs and milliseconds, and whether there is an adapter.
+GAP_ACTIONS = (
+    ("HYDRATE_CHANNEL_ABOUT", ("CHANNEL_METADATA_MISSING",), 1, 0, 1500, True),
+    ("FETCH_RECENT_VIDEO_SAMPLE", ("RECENT_DOCUMENT_COVERAGE_INSUFFICIENT", "INDEPENDENCE_MISSING"), 101, 0, 3000, True),
+    ("FETCH_TEMPORAL_VIDEO_SAMPLE", ("TEMPORAL_COVERAGE_INSUFFICIENT",), 202, 0, 6000, False),
+    ("FETCH_VIDEO_DESCRIPTIONS", ("TRADING_HYPOTHESIS_AMBIGUOUS", "ALTERNATIVE_FOCUS_AMBIGUOUS"), 1, 0, 2500, True),
+    ("FETCH_PLAYLIST_SAMPLE", ("RECENT_DOCUMENT_COVERAGE_INSUFFICIENT",), 100, 0, 4000, True),
+    ("FETCH_TRANSCRIPT_EXCERPT", ("TRADING_HYPOTHESIS_AMBIGUOUS", "LANGUAGE_LOW_CONFIDENCE"), 1, 0, 4000, False),
+    ("RESOLVE_LANGUAGE", ("LANGUAGE_UNSUPPORTED", "LANGUAGE_LOW_CONFIDENCE"), 0, 0, 2000, False),
+    ("RESOLVE_ENTITY", ("IDENTITY_UNRESOLVED",), 0, 0, 2000, False),
+    ("CLASSIFY_DOCUMENTS", ("TRADING_HYPOTHESIS_AMBIGUOUS",), 0, 0, 1000, False),
+    ("ASSESS_CREATOR_FOCUS", ("ALTERNATIVE_FOCUS_AMBIGUOUS",), 0, 0, 1000, False),
+    ("RETRY_PROVIDER", ("PROVIDER_TRANSIENT_FAILURE",), 0, 0, 3000, False),
+    ("WAIT_FOR_QUOTA", ("QUOTA_DEFERRED",), 0, 0, 0, True),
+    ("PREPARE_HUMAN_REVIEW", ("REVIEW_JUDGMENT_REQUIRED",), 0, 1, 0, True),
+)
+#: Fixed value: the utility of any action before its costs.
+GAP_BENEFIT = 10 * 0.5 + 8 * 0.4 + 12 * 1 + 2 * 0.5 + 5 * 0.5 - 4 * 0.1
+
+
+def gap_action() -> Column:
+    """D42, L21. (action, score): the most useful feasible action that closes one of `gaps`; equals by name, null if none is feasible.
+
+    Of gaps, provider_left, case_left, milliseconds_left and review_left.
+    """
+    ways = []
+    for name, closes, provider, review, took, adapter in GAP_ACTIONS:
+        score = GAP_BENEFIT - 0.025 * provider - 25 * review - 0.0002 * took
+        fits = F.arrays_overlap("gaps", F.array(*map(F.lit, closes))) & (c("provider_left") >= provider) & (c("case_left") >= provider) & (c("milliseconds_left") >= took) & (c("review_left") >= review)
+        ways.append(F.when(fits & F.lit(adapter), F.struct(F.lit(-score).alias("loss"), F.lit(name).alias("action"))))
+    best = F.array_min(F.array_compact(F.array(*ways)))
+    return F.when(best.isNotNull(), F.struct(best["action"].alias("action"), F.round(-best["loss"], 6).alias("score")))
 
 
-def uncertain_lifecycle(stage: Column, most: int, operational: Column, age_days: Column) -> Column:
-    """D37, D38."""
-    return rules((operational, "RETRY_LATER"), (stage < most, "ENRICH"), (age_days > 90, "REDISCOVER"), otherwise="REVIEW")
+def vitality(score: Column, days: Column) -> Column:
+    """D43. (band, recheck_days, priority) of an activity score (null: 50) and the days since the last upload (null: none)."""
+    s, d = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(score.cast("double"), F.lit(50.0)))), F.greatest(F.lit(0.0), F.coalesce(days.cast("double"), F.lit(float("inf"))))
+    row = lambda band, again, plus: F.struct(F.lit(band).alias("band"), F.lit(again).alias("recheck_days"), F.lit(plus).alias("priority"))
+    return F.when((s >= 70) & (d <= 90), row("HIGH", 14, 10)).when((s >= 35) & (d <= 365), row("MEDIUM", 30, 5)).otherwise(row("LOW", 90, 0))
 
 
-def gap_action(gaps: Column, table: dict[str, tuple[tuple[str, ...], float]]) -> Column:
-    """D42, L21. The action that closes the most gaps per unit of cost, the first listed of equals."""
-    scored = [F.struct((F.size(F.array_intersect(gaps, F.array(*map(F.lit, closes)))) / cost).alias("s"), F.lit(-i).alias("i"), F.lit(a).alias("a")) for i, (a, (closes, cost)) in enumerate(table.items())]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["s"] > 0, best["a"])
+#: Upper ends of raw confidence and what they are worth.
+SEMANTIC_BINS = ((49, 35), (64, 50), (79, 64), (89, 75), (100, 84))
 
 
-def activity_band(uploads: Column, age: Column) -> Column:
-    """D43, A69."""
-    return rules((age > 365, "DORMANT"), (uploads >= 12, "VERY_ACTIVE"), (uploads >= 4, "ACTIVE"), otherwise="OCCASIONAL")
+def semantic_confidence(raw: Column) -> Column:
+    """D41. A model's confidence as the calibration has it; what is no number counts as 0."""
+    x = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(raw.cast("double"), F.lit(0.0)), F.lit(0.0))))
+    return reduce(lambda w, b: w.when(x <= b[0], b[1]), SEMANTIC_BINS[1:], F.when(x <= SEMANTIC_BINS[0][0], SEMANTIC_BINS[0][1]))
 
 
 def invite_outcome(http: Column, relevant: Column) -> Column:
@@ -394,7 +552,7 @@ def rate_pressure(decision: Column, degraded: Column, documents: Column, familie
 
 
 def unanimous_share(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """D41. Each key's most common value, its share, and a confidence lowered where votes are few."""
+    """Each key's most common value, its share, and a confidence lowered where votes are few."""
     n = rows.groupBy(*key, value).agg(F.count("*").alias("_n"))
     total = n.groupBy(*key).agg(F.sum("_n").alias("votes"))
     top = latest(n, key, [F.desc("_n"), F.asc(value)]).join(total, key)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import analytics_queries, corpus_queries, decision_queries, relational_queries, report_queries, stream_queries
+from . import analytics_queries, corpus_queries, decision_queries, relational_queries, report_queries, rule_queries, stream_queries
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (analytics_queries, relational_queries, corpus_queries, decision_queries, report_queries, stream_queries):
+for _part in (analytics_queries, relational_queries, corpus_queries, decision_queries, report_queries, rule_queries, stream_queries):
     QUERIES |= _part.CATALOGUE.queries
     ORACLE |= _part.CATALOGUE.sql
 

@@ -44,7 +44,7 @@ def q13b_trial_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("run_id", D.trial_outcome().alias("outcome"))
 
 
-EVID = """ev AS (SELECT source AS k, CASE WHEN doc_id % 4 = 3 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS polarity, doc_id % 3 AS category_order, 'C' || (doc_id % 3) AS category, 1 + doc_id % 5 AS matches, lang AS source, least(10 + doc_id % 4 * 5, (1 + doc_id % 5) * 3.0) * 0.9 * 0.85 AS weight FROM documents WHERE doc_id % 29 = 0),
+EVID = """ev AS (SELECT source AS k, CASE WHEN doc_id % 4 = 3 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS polarity, doc_id % 3 AS category_order, 'C' || (doc_id % 3) AS category, 1 + doc_id % 5 AS matches, lang AS source, least(10 + doc_id % 4 * 5, (1 + doc_id % 5) * 3.0) * 0.9 * 0.85 AS weight FROM documents),
 asm AS (SELECT k, round(coalesce(sum(weight) FILTER (polarity = 'POSITIVE'), 0), 9) AS positive, round(coalesce(sum(weight) FILTER (polarity = 'NEGATIVE'), 0), 9) AS negative, count(DISTINCT source) AS sources, count(*) AS items FROM ev GROUP BY 1),
 pts AS (SELECT k, category FROM (SELECT k, category, sum(2 * matches) AS p, min(category_order) AS o FROM ev WHERE polarity = 'POSITIVE' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY k ORDER BY p DESC, o) = 1),
 st AS (SELECT asm.*, category AS primary_category, CASE WHEN negative >= 25 AND (positive = 0 OR negative > 1.5 * positive) THEN 'FAIL' WHEN negative >= 25 THEN 'MIXED' ELSE 'PASS' END AS contradiction FROM asm LEFT JOIN pts USING (k)),
@@ -57,7 +57,7 @@ def q23_evidence_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = c("doc_id")
     matches = 1 + i % 5
     weight = D.evidence_weight(matches, F.lit(3.0), (10 + i % 4 * 5).cast("double"), F.lit(0.9), F.lit(0.85))
-    ev = table(spark, sf_dir, "documents").where("doc_id % 29 = 0").select(c("source").alias("k"), F.when(i % 4 == 3, "NEGATIVE").otherwise("POSITIVE").alias("polarity"), (i % 3).alias("category_order"), F.concat(F.lit("C"), (i % 3).cast("string")).alias("category"), matches.alias("matches"), c("lang").alias("source"), weight.alias("weight"))
+    ev = table(spark, sf_dir, "documents").select(c("source").alias("k"), F.when(i % 4 == 3, "NEGATIVE").otherwise("POSITIVE").alias("polarity"), (i % 3).alias("category_order"), F.concat(F.lit("C"), (i % 3).cast("string")).alias("category"), matches.alias("matches"), c("lang").alias("source"), weight.alias("weight"))
     out = D.decision(D.staged(D.assemble(ev, "k")).withColumn("strong", F.lit(True)), numbers.calibrate_decision)
     return out.select(c("k").alias("source"), "positive", "negative", "sources", "items", "primary_category", "contradiction", "lifecycle", "raw", "decision", "score")
 

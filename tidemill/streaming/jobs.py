@@ -6,7 +6,6 @@ micro-batch a key's rows are handled in order of `seq`.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -18,16 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.days import QUOTA_ZONE
+from ..session import shared_folder
 
 Rows = Iterator[pd.DataFrame]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a local one only where it names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or "file://" + tempfile.mkdtemp(prefix="tidemill-")).rstrip("/")
-
-
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A table's files as a stream, times as UTC."""
     from ..sources.tables import table

@@ -199,7 +199,8 @@ def _confirmed(docs: DataFrame, members: DataFrame, p: Params) -> DataFrame:
     members: node, rep, digest, known (what is connected already), g, i, j: the groups that a class is in. It stands
     for itself by a text of doc_id rep that has its digest. Every group is compared in one task, word by word.
     """
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").join(members, "rep")
+    members = materialise(members, "members")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "text").join(bounded(members), "rep")
     spread = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,9 @@ def _confirmed(docs: DataFrame, members: DataFrame, p: Params) -> DataFrame:
         if len(ids) > 1:
             yield close()
 
-    return materialise(spread.select("node", "text", "digest", "known", "g", "i", "j").mapInArrow(run, "a long, b long"), "links")
+    with scratch() as keep:
+        keep(members)
+        return materialise(spread.select("node", "text", "digest", "known", "g", "i", "j").mapInArrow(run, "a long, b long"), "links")
 
 
 def near_links(docs: DataFrame, candidates: DataFrame, classes: DataFrame, p: Params) -> DataFrame:

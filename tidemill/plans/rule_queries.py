@@ -304,3 +304,31 @@ AUDIENCE = Rows("customer", ("c_custkey AS id", f"{pick('c_custkey', '1.2K', '90
 @query(AUDIENCE.sql("SELECT id, CASE WHEN s IN ('12', '29') THEN 'SKIP' ELSE 'PROCEED' END AS gate FROM x"))
 def p05_low_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AUDIENCE.load(spark, sf_dir).select("id", text.low_audience("s").alias("gate"))
+
+
+SEARCHED = Rows("customer", ("c_custkey AS id", f"{pick('c_custkey', '(price action)', 'forex  +gold', 'plain words', '-minus word', 'a|b*c')} AS s"))
+
+
+@query(SEARCHED.sql("SELECT id, CASE s WHEN '(price action)' THEN 'price action' WHEN 'forex  +gold' THEN 'forex gold' WHEN '-minus word' THEN 'minus word' WHEN 'a|b*c' THEN 'a b c' ELSE s END AS clean FROM x"))
+def t14_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SEARCHED.load(spark, sf_dir).select("id", text.sanitize_query("s").alias("clean"))
+
+
+FLAGS = ("has_context", "has_hint", "is_hub", "is_platform", "is_custom_domain", "is_affiliate", "is_broker")
+PAGES = Rows("orders", (f"{O} AS id", f"{pick(O, 'CHANNEL_LINKS', 'ABOUT', 'PINNED', 'VIDEO', 'WEBSITE')} AS surface", *(f"({O} * {k + 2}) % {k + 3} = 0 AS {n}" for k, n in enumerate(FLAGS)), "o_custkey % 2 = 0 AS usable", "o_custkey % 3 AS ownership", f"{pick('o_custkey', 'VALID', 'PENDING', 'NULL')} AS status"))
+
+
+@query(PAGES.sql("""SELECT id, CASE surface WHEN 'CHANNEL_LINKS' THEN 65 WHEN 'ABOUT' THEN 50 WHEN 'PINNED' THEN 45 WHEN 'VIDEO' THEN 10 ELSE 0 END + CASE WHEN has_context THEN 120 ELSE 0 END + CASE WHEN has_hint THEN 70 ELSE 0 END + CASE WHEN is_hub THEN 60 ELSE 0 END + CASE WHEN is_platform THEN 55 ELSE 0 END + CASE WHEN is_custom_domain THEN 20 ELSE 0 END - CASE WHEN is_affiliate THEN 75 ELSE 0 END - CASE WHEN is_broker THEN 45 ELSE 0 END AS score,
+CASE WHEN usable THEN 10000 ELSE 0 END + 1000 * ownership + CASE status WHEN 'VALID' THEN 100 WHEN 'PENDING' THEN 50 ELSE 0 END AS rank FROM x"""))
+def t24_surface_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T24, K10."""
+    rank = D.community_rank(c("usable"), c("ownership"), c("status"), {"VALID": 100, "PENDING": 50})
+    return PAGES.load(spark, sf_dir).select("id", address.surface_score("surface", *FLAGS).alias("score"), rank.alias("rank"))
+
+
+HITS = Rows("customer", ("c_custkey AS id", f"{pick('c_custkey', 'www.spam.example', 'SPAM.example', 'good.example', 'notspam.example')} AS host", f"{pick('c_custkey + c_nationkey', 'Login page', 'A title', 'Sign up now')} AS title"))
+
+
+@query(HITS.sql("SELECT id, CASE WHEN lower(host) IN ('www.spam.example', 'spam.example') THEN 'EXCLUDED_DOMAIN' WHEN title IN ('Login page', 'Sign up now') THEN 'NOISE_TITLE' END AS noise FROM x"))
+def p14_noise_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return HITS.load(spark, sf_dir).select("id", address.noise_reason("host", "title", ("spam.example",), "(?i)login|sign up").alias("noise"))

@@ -37,23 +37,32 @@ class Params:
     min_match: int = 3
 
 
+#: Characters beyond the basic plane are looked at one by one; a class with them is searched slowly.
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _kept(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LM"
+
+
 @lru_cache(maxsize=1)
 def _others() -> re.Pattern:
-    """Runs of what is neither a letter nor a mark, as one class of code point ranges."""
+    """Runs of what is neither a letter nor a mark, in the basic plane, as one class of code point ranges."""
     ranges, start = [], None
-    for c in range(0x110001):
-        other = c < 0x110000 and unicodedata.category(chr(c))[0] not in "LM"
+    for c in range(0x10001):
+        other = c < 0x10000 and not _kept(chr(c))
         if other and start is None:
             start = c
         elif not other and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            ranges.append(f"\\u{start:04x}-\\u{c - 1:04x}")
             start = None
     return re.compile(f"[{''.join(ranges)}]+")
 
 
 def letters(text: str) -> str:
     """The text in lower case with one space for all that stands between letters (categories L and M); empty without a letter."""
-    own = _others().sub(" ", text.lower()).strip()
+    low = BEYOND.sub(lambda m: m.group() if _kept(m.group()) else " ", text.lower())
+    own = _others().sub(" ", low).strip()
     return own if any(map(str.isalpha, own)) else ""
 
 

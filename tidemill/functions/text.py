@@ -34,9 +34,9 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x).lower()).strip())
 
 
-def words(x) -> Column:
+def words(x, pattern: str = WORD) -> Column:
     """T02. The words of a text, in order."""
-    return F.regexp_extract_all(col(x), F.lit(f"({WORD})"), F.lit(1))
+    return F.regexp_extract_all(col(x), F.lit(f"({pattern})"), F.lit(1))
 
 
 def ngrams(tokens, n: int) -> Column:

@@ -6,25 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_life, js_round, ratio
-from ..functions.text import injected, words
+from ..functions.text import WORD, injected, ngrams, words
 from .lifecycle import burst, rules, term_lifecycle
 
 c = F.col
 
 
-def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each distinct lower-case word of each document."""
-    return docs.withColumn("term", F.explode(F.array_distinct(words(F.lower(text))))).drop(text)
+def tokens(docs: DataFrame, text: str = "text", most: int = 1, pattern: str = WORD) -> DataFrame:
+    """A row for each distinct run of 1 to `most` lower-case words of each document, joined by a space."""
+    d = docs.withColumn("_w", words(F.lower(text), pattern)).drop(text)
+    runs = c("_w") if most == 1 else F.concat("_w", *[ngrams("_w", n) for n in range(2, most + 1)])
+    # outer: the filter that is inferred for an inner explode would find the words anew for every run
+    return d.withColumn("term", F.explode_outer(F.array_distinct(runs))).drop("_w").where("term IS NOT NULL")
 
 
-def candidate_features(rows: DataFrame, dictionary: list[str]) -> DataFrame:
+def candidate_features(rows: DataFrame, dictionary: list[str], once: bool = False) -> DataFrame:
     """A08. Features and decision of each span over its occurrences.
 
-    Needs span, doc, cluster, day, language. burst is the busiest day's share, stability the active days of 30.
+    Needs span, doc, cluster, day, language; a doc has one cluster, day and language. burst is the busiest day's share,
+    stability the active days of 30. once: a span has one row per document, so rows need not be told apart by document.
+    Rows are counted by (span, cluster, language, day) before any is moved; what is left is moved once, by span.
     """
-    day = rows.groupBy("span", "day").agg(F.count("*").alias("n"))
-    days = day.groupBy("span").agg(F.max("n").alias("_peak"), F.count("*").alias("active_days"))
-    g = rows.groupBy("span").agg(F.count("*").alias("frequency"), F.countDistinct("cluster").alias("clusters"), F.countDistinct("doc").alias("documents"), F.countDistinct("language").alias("languages"))
+    key = ["span", "cluster", "language", "day"]
+    if once:
+        cells = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count("doc").alias("d"))
+    else:
+        cells = rows.groupBy(*key, "doc").agg(F.count("*").alias("n")).groupBy(*key).agg(F.sum("n").alias("n"), F.count("doc").alias("d"))
+    cells = cells.repartition("span")
+    days = cells.groupBy("span", "day").agg(F.sum("n").alias("n")).groupBy("span").agg(F.max("n").alias("_peak"), F.count("*").alias("active_days"))
+    g = cells.groupBy("span").agg(F.sum("n").alias("frequency"), F.countDistinct("cluster").alias("clusters"), F.sum("d").alias("documents"), F.countDistinct("language").alias("languages"))
     out = g.join(days, "span")
     inj = injected("span")
     out = out.withColumns({"burst": js_round(c("_peak") / c("frequency"), 6), "stability": js_round(F.least(F.lit(30), c("active_days")) / 30, 6), "_spread": 1 - c("clusters") / c("frequency")})
@@ -35,20 +45,28 @@ def candidate_features(rows: DataFrame, dictionary: list[str]) -> DataFrame:
 
 
 def hypotheses(rows: DataFrame, least_creators: int = 2, least_documents: int = 2) -> DataFrame:
-    """A23. Terms of enough creators and documents, with their languages. rows: one per term and document, as tokens() gives."""
+    """A23. Terms of enough creators and documents, with their languages. rows: one per term and document, as tokens() gives with most=4."""
     own = rows.groupBy("term", "creator", "language").agg(F.count("*").alias("n"))
     g = own.groupBy("term").agg(F.countDistinct("creator").alias("creators"), F.sum("n").alias("documents"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
     return g.where((c("creators") >= least_creators) & (c("documents") >= least_documents))
 
 
-def mine(rows: DataFrame, stopwords: list[str]) -> DataFrame:
-    """A25. Scored candidate terms: 2 * creators + communities + families + min(3, documents / 5). rows: one per term and document."""
+#: Words that are no terms by themselves, and the words that runs are made of.
+STOPWORDS = ["about", "after", "before", "could", "from", "have", "into", "more", "that", "their", "there", "these", "this", "trade", "trader", "trading", "with", "your"]
+SURFACE = r"[\p{L}\p{N}][\p{L}\p{N}+#./-]*"
+
+
+def mine(rows: DataFrame, stopwords: list[str] = STOPWORDS, least_creators: int = 2) -> DataFrame:
+    """A25. Scored candidate terms of each language: 2 * creators + communities + families + min(3, documents / 5).
+
+    rows: one per term and document, as tokens() gives with most=2 and SURFACE. A term without a language has und.
+    """
     t = c("term")
-    own = rows.where(F.length(t).between(2, 40) & ~t.isin(stopwords) & ~t.rlike(r"^\d+$"))
-    own = own.groupBy("term", "creator", "community", "family").agg(F.count("*").alias("n"))
-    g = own.groupBy("term").agg(F.countDistinct("creator").alias("creators"), F.countDistinct("community").alias("communities"), F.countDistinct("family").alias("families"), F.sum("n").alias("documents"))
+    own = rows.where(F.length(t).between(2, 40) & ~t.isin(stopwords) & ~t.rlike(r"^\d+$")).withColumn("language", F.coalesce("language", F.lit("und")))
+    own = own.groupBy("term", "language", "creator", "community", "family").agg(F.count("*").alias("n"))
+    g = own.groupBy("term", "language").agg(F.countDistinct("creator").alias("creators"), F.countDistinct("community").alias("communities"), F.countDistinct("family").alias("families"), F.sum("n").alias("documents"))
     score = 2 * c("creators") + c("communities") + c("families") + F.least(F.lit(3.0), c("documents") / 5)
-    return g.withColumn("score", F.round(score, 6)).withColumn("lifecycle", rules(((c("families") >= 2) & (c("creators") >= 2), "VALIDATED"), otherwise="CANDIDATE"))
+    return g.withColumn("score", F.round(score, 6)).withColumn("lifecycle", rules(((c("families") >= 2) & (c("creators") >= least_creators), "VALIDATED"), otherwise="CANDIDATE"))
 
 
 def term_burst(rows: DataFrame, as_of, current_days: int = 7, baseline_days: int = 28) -> DataFrame:
@@ -57,16 +75,18 @@ def term_burst(rows: DataFrame, as_of, current_days: int = 7, baseline_days: int
     day = lambda n: at - F.make_dt_interval(F.lit(n))
     now = (c("observed_at") > day(current_days)) & (c("observed_at") <= at)
     before = (c("observed_at") > day(current_days + baseline_days)) & (c("observed_at") <= day(current_days))
-    g = rows.groupBy("term").agg(F.countDistinct(F.when(now, c("source"))).alias("current"), F.countDistinct(F.when(before, c("source"))).alias("baseline"))
+    own = rows.groupBy("term", "source").agg(F.max(now & c("source").isNotNull()).alias("_now"), F.max(before & c("source").isNotNull()).alias("_before"))
+    g = own.groupBy("term").agg(F.count_if("_now").alias("current"), F.count_if("_before").alias("baseline"))
     return g.withColumn("burst", burst(c("current"), c("baseline")))
 
 
 def term_evidence(rows: DataFrame, as_of_age: Column, weight: Column) -> DataFrame:
     """A20, A21, D08. Decayed evidence of each term, weighted yield and lifecycle state.
 
-    Needs term, creator, community, executions, term_yield, is_brand.
+    Needs term, creator, community, executions, term_yield, is_brand. Sums are taken by term, creator and community first.
     """
-    g = rows.groupBy("term").agg(F.round(F.sum(weight * half_life(as_of_age)), 9).alias("decayed"), F.countDistinct("creator").alias("creators"), F.countDistinct("community").alias("communities"), F.count("*").alias("evidence"), F.sum("executions").alias("executions"), F.round(ratio(F.sum(c("term_yield") * c("executions")), F.sum("executions")), 9).alias("term_yield"), F.max("is_brand").alias("is_brand"))
+    own = rows.groupBy("term", "creator", "community").agg(F.sum(weight * half_life(as_of_age)).alias("_d"), F.count("*").alias("_n"), F.sum("executions").alias("_x"), F.sum(c("term_yield") * c("executions")).alias("_y"), F.max("is_brand").alias("_b"))
+    g = own.groupBy("term").agg(F.round(F.sum("_d"), 9).alias("decayed"), F.countDistinct("creator").alias("creators"), F.countDistinct("community").alias("communities"), F.sum("_n").alias("evidence"), F.sum("_x").alias("executions"), F.round(ratio(F.sum("_y"), F.sum("_x")), 9).alias("term_yield"), F.max("_b").alias("is_brand"))
     return g.withColumn("state", term_lifecycle()).withColumn("eligible", c("state").isin("PROVEN", "SEARCH_TRIAL"))
 
 

@@ -66,35 +66,56 @@ def promotion_gate(baseline: DataFrame, candidate: DataFrame, *, least: float =
     return n.select(promotion(few | c("_short"), against).alias("decision"), F.array_join(against, ",").alias("reasons"))
 
 
+def _pooled(blocks: list[list[float]], more) -> list[list[float]]:
+    """Blocks (upper, weight, positive) in order, and more of them, with neighbours out of order pooled."""
+    for block in more:
+        blocks.append(list(block))
+        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] > blocks[-1][2] / blocks[-1][1]:
+            high = blocks.pop()
+            blocks[-1] = [high[0], blocks[-1][1] + high[1], blocks[-1][2] + high[2]]
+    return blocks
+
+
 def isotonic(rows: DataFrame) -> DataFrame:
     """M08. Blocks (upper, probability, weight) of weighted isotonic regression over scores.
 
-    Weights and positives are first summed by distinct score in Spark; what is pooled then has as many
-    rows as there are distinct scores, rounded to six decimals, so at most a million and one.
+    Weights and positives are summed by distinct score, then pooled within ranges of scores; only the blocks
+    that are left of every range are pooled in one task, and their order decides nothing, since pooling is associative.
     """
-    w = F.lit(10000.0) / c("inclusion_bp")
-    sums = rows.groupBy(F.round("score", 6).alias("score")).agg(F.sum(w).alias("weight"), F.sum(F.when(c("truth"), w).otherwise(0.0)).alias("positive"))
+    import pandas as pd
 
-    def pool(pdf):
-        import pandas as pd
+    w = F.lit(10000.0) / c("inclusion_bp")
+    sums = rows.where("score IS NOT NULL").groupBy("score").agg(F.sum(w).alias("weight"), F.sum(F.when(c("truth"), w).otherwise(0.0)).alias("positive"))
+    names = ["score", "weight", "positive"]
 
+    def ranges(batches):
         blocks: list[list[float]] = []
-        for r in pdf.sort_values("score").itertuples(index=False):
-            blocks.append([r.score, r.weight, r.positive])
-            while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] > blocks[-1][2] / blocks[-1][1]:
-                high = blocks.pop()
-                blocks[-1] = [high[0], blocks[-1][1] + high[1], blocks[-1][2] + high[2]]
+        for pdf in batches:
+            _pooled(blocks, pdf[names].itertuples(index=False))
+        yield pd.DataFrame(blocks, columns=names).astype("float64")
+
+    def whole(pdf):
+        blocks = _pooled([], pdf.sort_values("score")[names].itertuples(index=False))
         return pd.DataFrame([(b[0], round(b[2] / b[1], 9), round(b[1], 6)) for b in blocks], columns=["upper", "probability", "weight"])
 
-    return sums.groupBy(F.lit(1).alias("one")).applyInPandas(pool, "upper double, probability double, weight double")
+    parts = sums.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(ranges, "score double, weight double, positive double")
+    return parts.groupBy(F.lit(1).alias("one")).applyInPandas(whole, "upper double, probability double, weight double")
+
 
+def apply_isotonic(rows: DataFrame, points: DataFrame, bins: int = 1024) -> DataFrame:
+    """M08. Adds probability: that of the first block whose upper end is not below the score, the last beyond all; null for no score.
 
-def apply_isotonic(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """M08. Adds probability: that of the first block whose upper end is not below the score, the last beyond all."""
-    lower = F.coalesce(F.lag("upper").over(Window.orderBy("upper")), F.lit(float("-inf")))
-    last = F.lead("upper").over(Window.orderBy("upper")).isNull()
-    spans = points.withColumn("_low", lower).withColumn("_high", F.when(last, F.lit(float("inf"))).otherwise(c("upper")))
-    return rows.join(F.broadcast(spans.select("_low", "_high", "probability")), (c("score") > c("_low")) & (c("score") <= c("_high")), "left").drop("_low", "_high")
+    Rows meet the blocks of their own of `bins` equal parts of the fitted scores, by an equality.
+    """
+    ends = points.agg(F.min("upper").alias("_first"), F.max("upper").alias("_last"))
+    place = lambda x: F.when(c("_last") > c("_first"), F.floor((x - c("_first")) / (c("_last") - c("_first")) * bins)).otherwise(F.lit(0)).cast("long")
+    low = F.lag("upper").over(Window.orderBy("upper"))  # blocks come from one task
+    spans = points.withColumn("_low", low).crossJoin(F.broadcast(ends))
+    spans = spans.select(F.coalesce("_low", F.lit(float("-inf"))).alias("_low"), "upper", "probability", F.explode(F.sequence(place(F.coalesce("_low", "upper")), place(c("upper")))).alias("_bin"))
+    own = rows.crossJoin(F.broadcast(ends)).withColumn("_at", F.when(c("score").isNotNull(), F.greatest(c("_first"), F.least(c("_last"), c("score")))))
+    own = own.withColumn("_bin", place(c("_at"))).drop("_first", "_last")
+    hit = (own["_bin"] == spans["_bin"]) & (c("_at") > c("_low")) & (c("_at") <= c("upper"))
+    return own.join(spans, hit, "left").select(*[own[x] for x in rows.columns], "probability")
 
 
 def rewards(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -21,30 +22,60 @@ def active_edges(edges: DataFrame, as_of) -> DataFrame:
     return latest(known, ["from_id", "to_id", "family"], [F.desc("observed_at"), F.asc("edge_id")]).where("assertion = 'ASSERTED'")
 
 
-def bounded_frontier(seeds: DataFrame, active: DataFrame, as_of, *, least_bp: int = 8000, depth: int = 2, fan_out: int = 10, hub: int = 100, fresh_days: int = 365, families: int = 1) -> DataFrame:
-    """G02. Entities within `depth` of seeds, level by level: entity_id, parent_id, depth, families, score, disposition.
-
-    A node expands to its first fan_out targets; one with more than hub edges gives capped ones only; only
-    eligible ones go on. Of several ways to an entity the first in order of parent counts.
-    """
-    at = F.lit(as_of).cast("timestamp")
-    good = active.where(c("confidence_bp") >= least_bp)
+def _arcs(good: DataFrame, fan_out: int, hub: int) -> DataFrame:
+    """What each entity expands to, in its order (place): a hub's first edges by confidence, else its first targets by id."""
     degree = good.groupBy("from_id").agg(F.count("*").alias("degree"))
-    support = good.groupBy("from_id", "to_id").agg(F.countDistinct("family").alias("families"), F.max("confidence_bp").alias("confidence"), F.max("valid_from").alias("newest"))
-    w = Window.partitionBy("from_id").orderBy("to_id")
-    arcs = support.withColumn("_n", F.row_number().over(w)).where(c("_n") <= fan_out).join(degree, "from_id").drop("_n")
-    level = seeds.select(c("entity_id").alias("from_id")).distinct()
-    seen = level.select(c("from_id").alias("entity_id"))
-    out = None
+    hubs, rest = degree.where(c("degree") > hub).select("from_id"), degree.where(c("degree") <= hub).select("from_id")
+    facts = [F.countDistinct("family").alias("families"), F.max("confidence_bp").alias("confidence"), F.max("valid_from").alias("newest")]
+    first = lambda df, *order: df.withColumn("place", F.row_number().over(Window.partitionBy("from_id").orderBy(*order))).where(c("place") <= fan_out)
+    plain = first(good.join(rest, "from_id", "left_semi").groupBy("from_id", "to_id").agg(*facts), "to_id")
+    capped = first(good.join(hubs, "from_id", "left_semi"), F.desc("confidence_bp"), "to_id")
+    capped = capped.groupBy("from_id", "to_id").agg(F.min("place").alias("place"), F.lit(1).cast("long").alias("families"), F.max("confidence_bp").alias("confidence"), F.max("valid_from").alias("newest"))
+    return plain.withColumn("hub", F.lit(False)).unionByName(capped.withColumn("hub", F.lit(True)))
+
+
+def bounded_frontier(seeds: DataFrame, active: DataFrame, as_of, *, least_bp: int = 8000, depth: int = 2, fan_out: int = 10, hub: int = 100, component: int = 100, fresh_days: int = 365, families: int = 1) -> DataFrame:
+    """G02. Entities within `depth` of seeds: entity_id, parent_id, depth, path, families, score, disposition.
+
+    Level by level, in order of path: the first way to an entity counts, and only ELIGIBLE ones go on, so a level after
+    the first has at most `component` of them. A hub (more than `hub` edges) gives HUB_CAPPED targets only, and the last hub that
+    reaches an entity has it. Once `component` entities are found, others are COMPONENT_CAPPED. Only eligible ones score.
+    Each level is written in the shared folder. Ids are ordered by their bytes.
+    """
+    spark = seeds.sparkSession
+    base = f"{shared_folder(spark)}/frontier-{uuid.uuid4().hex}"
+    old = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(fresh_days))
+    start = seeds.select(c("entity_id").alias("from_id")).distinct()
+    known = start.select(c("from_id").alias("to_id"))
+    arcs = _arcs(active.where(c("confidence_bp") >= least_bp), fan_out, hub)
+    level = start.withColumn("path", F.array("from_id"))
+    found, hit = [], []
     for d in range(1, depth + 1):
-        step = arcs.join(level, "from_id").join(seen, arcs["to_id"] == seen["entity_id"], "left_anti")
-        first = latest(step, ["to_id"], [F.asc("from_id")])
-        kind = F.when(c("degree") > hub, "HUB_CAPPED").when(c("newest") < at - F.make_dt_interval(F.lit(fresh_days)), "STALE").when(c("families") < families, "INSUFFICIENT_INDEPENDENCE").otherwise("ELIGIBLE")
-        found = first.select(c("to_id").alias("entity_id"), c("from_id").alias("parent_id"), F.lit(d).alias("depth"), "families", kind.alias("disposition"), F.when(c("degree") > hub, 0).otherwise(F.floor(c("confidence") / d + 0.5)).cast("long").alias("score"))
-        out = found if out is None else out.unionByName(found)
-        level = found.where("disposition = 'ELIGIBLE'").select(c("entity_id").alias("from_id"))
-        seen = seen.unionByName(found.select("entity_id"))
-    return out
+        step = arcs.join(level, "from_id").join(known, "to_id", "left_anti")
+        step = step.withColumns({"depth": F.lit(d), "path": F.concat("path", F.array("to_id")), "way": F.struct("path", "place")})
+        step.write.parquet(f"{base}/{d}/steps")
+        step = spark.read.schema(step.schema).parquet(f"{base}/{d}/steps")
+        hit.append(step.where("hub"))
+        first = step
+        count = 0
+        if found:
+            first = step.join(found[-1].select("to_id"), "to_id", "left_anti")
+            count = found[-1].count()
+        first = latest(first, ["to_id"], [F.asc("way")])
+        early = first.orderBy("way").limit(max(0, component - count)).select("to_id", F.lit(True).alias("early"))
+        kind = F.when(c("hub"), "HUB_CAPPED").when(c("newest") < old, "STALE").when(c("families") < families, "INSUFFICIENT_INDEPENDENCE").when(c("early").isNull(), "COMPONENT_CAPPED").otherwise("ELIGIBLE")
+        first = first.join(early, "to_id", "left").withColumn("disposition", kind).drop("early")
+        first.write.parquet(f"{base}/{d}/found")
+        paths = [f"{base}/{k}/found" for k in range(1, d + 1)]
+        found.append(spark.read.schema(first.schema).parquet(*paths))
+        level = found[-1].where((c("depth") == d) & (c("disposition") == "ELIGIBLE")).select(c("to_id").alias("from_id"), "path")
+    hubs = latest(reduce(DataFrame.unionByName, hit), ["to_id"], [F.desc("depth"), F.desc("way")])
+    taken = hubs.select("to_id", F.struct(c("from_id"), c("depth"), c("path")).alias("h"))
+    out = found[-1].join(taken, "to_id", "left")
+    own = lambda x: F.coalesce(c(f"h.{x}"), c(x)).alias(x)
+    last = F.when(c("h").isNotNull(), "HUB_CAPPED").otherwise(c("disposition"))
+    score = F.when(last == "ELIGIBLE", F.floor(c("confidence") / c("depth") + 0.5)).otherwise(0).cast("long")
+    return out.select(c("to_id").alias("entity_id"), own("from_id").alias("parent_id"), own("depth"), F.array_join(own("path"), ">").alias("path"), F.when(c("h").isNotNull(), 1).otherwise(c("families")).cast("long").alias("families"), last.alias("disposition"), score.alias("score"))
 
 
 def closure(links: DataFrame, most: int | None = None) -> DataFrame:
@@ -82,8 +113,11 @@ def resolve_lineage(children: DataFrame, candidates: DataFrame, key: str) -> Dat
 
 
 def sealed(frontier: DataFrame, key: list[str]) -> DataFrame:
-    """G06, U10. A digest of a snapshot that does not depend on row order: count, and sum and xor of row hashes."""
-    h = F.xxhash64(*[c(x) for x in sorted(frontier.columns)])
-    g = frontier.withColumn("_h", h)
+    """G06, U10. A digest of a snapshot that does not depend on row order: count, and sum and xor of 60 bits of sha256 of each row.
+
+    A row is its values by column name, as strings, each ended by U+001F, null as U+0000.
+    """
+    row = F.concat(*[F.concat(F.coalesce(c(x).cast("string"), F.lit("\0")), F.lit("\x1f")) for x in sorted(frontier.columns)])
+    g = frontier.withColumn("_h", F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("long"))
     g = g.groupBy(*key) if key else g.groupBy()
     return g.agg(F.count("*").alias("rows"), F.sum(c("_h").cast("decimal(38,0)")).cast("string").alias("digest"), F.bit_xor("_h").alias("parity"))

@@ -16,7 +16,6 @@ query = CATALOGUE.query
 c = F.col
 
 DICTIONARY = ["der", "die", "que", "pour", "with", "that"]
-STOPWORDS = ["the", "of", "and", "de", "la"]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ SELECT span, frequency, clusters, documents, languages, active_days, burst, stab
 concat_ws(',', CASE WHEN spread >= 0.5 THEN 'CORRELATED_SOURCES' END, CASE WHEN frequency >= 3 AND burst >= 0.8 THEN 'TEMPORAL_BURST' END) AS flags FROM h"""))
 def q16_candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.tokens(_documents(spark, sf_dir)).withColumnRenamed("term", "span")
-    return C.candidate_features(rows, DICTIONARY)
+    return C.candidate_features(rows, DICTIONARY, once=True)
 
 
 @query()
@@ -55,19 +54,37 @@ def q17_ngram_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM documents)) GROUP BY gram HAVING count(DISTINCT doc_id) >= 2""")
 def q17b_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", text.words(F.lower("text")).alias("w"))
-    g = d.select("doc_id", F.explode(text.ngrams("w", 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    own = d.select("doc_id", F.explode_outer(text.ngrams("w", 2)).alias("gram")).where("gram IS NOT NULL").groupBy("gram", "doc_id").agg(F.count("*").alias("n"))
+    g = own.groupBy("gram").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs"))
     return g.where("docs >= 2")
 
 
 @query(_sql(TERMS, query="SELECT term, count(DISTINCT creator) AS creators, count(DISTINCT doc) AS documents, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM terms GROUP BY term HAVING count(DISTINCT creator) >= 2 AND count(DISTINCT doc) >= 2"))
 def q18_corpus_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A23, over single words."""
     return C.hypotheses(C.tokens(_documents(spark, sf_dir)))
 
 
-@query(_sql(TERMS, query=r"""SELECT term, creators, communities, families, documents, round(2 * creators + communities + families + least(3.0, documents / 5.0), 6) AS score, CASE WHEN families >= 2 AND creators >= 2 THEN 'VALIDATED' ELSE 'CANDIDATE' END AS lifecycle FROM (
-SELECT term, count(DISTINCT creator) AS creators, count(DISTINCT community) AS communities, count(DISTINCT language) AS families, count(DISTINCT doc) AS documents FROM terms WHERE length(term) BETWEEN 2 AND 40 AND term NOT IN ('the', 'of', 'and', 'de', 'la') AND NOT regexp_full_match(term, '\d+') GROUP BY term)"""))
+def _runs(most: int, pattern: str) -> str:
+    """SQL of the distinct runs of 1 to `most` words of each document."""
+    runs = " || ".join(f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))" for n in range(1, most + 1))
+    words = f"SELECT doc_id, source, lang, regexp_extract_all(lower(text), '{pattern}') AS w FROM documents"
+    return f"runs AS (SELECT doc_id AS doc, source AS creator, doc_id % 7 AS community, doc_id % 11 AS family, lang AS language, unnest(list_distinct({runs})) AS term FROM ({words}))"
+
+
+@query(_sql(_runs(4, WORDS), query="SELECT term, count(DISTINCT creator) AS creators, count(DISTINCT doc) AS documents, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM runs GROUP BY term HAVING count(DISTINCT creator) >= 2 AND count(DISTINCT doc) >= 2"))
+def q18c_hypotheses_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A23, over runs of 1 to 4 words."""
+    return C.hypotheses(C.tokens(_documents(spark, sf_dir), most=4))
+
+
+@query(_sql(_runs(2, C.SURFACE), query=r"""SELECT term, language, creators, communities, families, documents, round(2 * creators + communities + families + least(3.0, documents / 5.0), 6) AS score, CASE WHEN families >= 2 AND creators >= 2 THEN 'VALIDATED' ELSE 'CANDIDATE' END AS lifecycle FROM (
+SELECT term, coalesce(language, 'und') AS language, count(DISTINCT creator) AS creators, count(DISTINCT community) AS communities, count(DISTINCT family) AS families, count(DISTINCT doc) AS documents FROM runs WHERE length(term) BETWEEN 2 AND 40 AND NOT regexp_full_match(term, '\d+')
+AND term NOT IN ('about', 'after', 'before', 'could', 'from', 'have', 'into', 'more', 'that', 'their', 'there', 'these', 'this', 'trade', 'trader', 'trading', 'with', 'your') GROUP BY 1, 2)"""))
 def q18b_candidate_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.mine(C.tokens(_documents(spark, sf_dir)), STOPWORDS)
+    """A25, over words and pairs of words of each language."""
+    d = _documents(spark, sf_dir).withColumn("family", c("doc") % 11)
+    return C.mine(C.tokens(d, most=2, pattern=C.SURFACE))
 
 
 @query(_sql(TERMS, query="""SELECT term, current, baseline, current >= 3 AND current / CAST(greatest(1, baseline) AS DOUBLE) >= 2 AS burst FROM (SELECT term, count(DISTINCT creator) FILTER (day > DATE '2024-01-27' AND day <= DATE '2024-02-03') AS current, count(DISTINCT creator) FILTER (day > DATE '2023-12-30' AND day <= DATE '2024-01-27') AS baseline FROM terms GROUP BY term)"""))

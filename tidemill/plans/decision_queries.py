@@ -104,7 +104,13 @@ def q29_weighted_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.weighted_metrics(examples(spark, sf_dir), ["segment"])
 
 
-@query()
+METRICS = CATALOGUE.sql["q29_weighted_benchmark"]
+BETTER = METRICS.replace(DIMS, "better AS (SELECT * REPLACE (CASE WHEN truth THEN 'POSITIVE' ELSE predicted END AS predicted) FROM examples), " + DIMS.replace("FROM examples", "FROM better"))
+
+
+@query(f"""WITH old AS ({METRICS}), new AS ({BETTER}), x AS (SELECT n.effective_n < 30 AS few, (SELECT coalesce(bool_or(effective_n < 30), false) FROM new WHERE dimension <> 'all') AS short, coalesce(n.precision_lower, 0) < 0.7 AS weak, coalesce(o.recall, 0) - coalesce(n.recall, 0) > 0.05 AS lost, n.abstention_rate - o.abstention_rate > 0.05 AS shy, n.brier - o.brier > 0.02 AS off
+FROM new n, old o WHERE n.dimension = 'all' AND o.dimension = 'all'), y AS (SELECT few OR short AS thin, concat_ws(',', CASE WHEN few THEN 'INSUFFICIENT_EFFECTIVE_SAMPLE_SIZE' END, CASE WHEN weak THEN 'PRECISION_LOWER_BOUND' END, CASE WHEN lost THEN 'RECALL_REGRESSION' END, CASE WHEN shy THEN 'ABSTENTION_REGRESSION' END, CASE WHEN off THEN 'CALIBRATION_REGRESSION' END, CASE WHEN short THEN 'SEGMENT_INSUFFICIENT' END) AS reasons FROM x)
+SELECT CASE WHEN thin THEN 'INSUFFICIENT_EVIDENCE' WHEN reasons <> '' THEN 'REJECT' ELSE 'PROMOTE' END AS decision, reasons FROM y""")
 def q29b_promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = examples(spark, sf_dir)
     better = rows.withColumn("predicted", F.when(c("truth"), "POSITIVE").otherwise(c("predicted")))
@@ -225,7 +231,10 @@ def q44b_contextual_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.contextual_portfolio(actions(spark, sf_dir), c("expected_reward") / 1000 - c("provider_cost"), PORTFOLIO)
 
 
-@query()
+@query(sql(ACTIONS, query="""SELECT * FROM (WITH RECURSIVE o AS (SELECT *, row_number() OVER (ORDER BY depth, program_id, action_type) AS n FROM (SELECT action_id, program_id, action_type, expected_reward, row_number() OVER (PARTITION BY program_id, action_type ORDER BY expected_reward DESC, action_id) AS depth FROM actions) WHERE depth <= 18),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS types, CAST([] AS VARCHAR[]) AS programs, false AS ok UNION ALL SELECT n, CASE WHEN ok THEN list_append(types, action_type) ELSE types END, CASE WHEN ok THEN list_append(programs, program_id) ELSE programs END, ok FROM (SELECT o.n, types, programs, action_type, program_id,
+len(types) < 25 AND len(types) - len(list_filter(types, lambda t: t <> action_type)) < 12 AND len(programs) - len(list_filter(programs, lambda t: t <> program_id)) < 6 AS ok FROM r JOIN o ON o.n = r.n + 1))
+SELECT action_id, program_id, action_type, expected_reward, CAST(len(types) AS BIGINT) AS place FROM r JOIN o USING (n) WHERE ok)"""))
 def q44c_bounded_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = actions(spark, sf_dir).select("action_id", "program_id", "action_type", "expected_reward")
     return L.bounded_round_robin(a, "action_type", "program_id", [F.desc("expected_reward"), F.asc("action_id")], 12, 6, 25)

@@ -213,20 +213,28 @@ def q47_active_edges_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.active_edges(edges(spark, sf_dir), "2000-06-01")
 
 
-@query(sql(EDGES, ACTIVE, "two AS (SELECT from_id, to_id, family, confidence_bp, valid_from FROM active UNION ALL SELECT to_id, from_id, family, confidence_bp, valid_from FROM active)",
-    "good AS (SELECT * FROM two WHERE confidence_bp >= 8400)", "deg AS (SELECT from_id, count(*) AS degree FROM good GROUP BY 1)",
-    "arcs AS (SELECT * FROM (SELECT from_id, to_id, count(DISTINCT family) AS families, max(confidence_bp) AS confidence, max(valid_from) AS newest FROM good GROUP BY 1, 2) JOIN deg USING (from_id) QUALIFY row_number() OVER (PARTITION BY from_id ORDER BY to_id) <= 10)",
-    "seeds AS (SELECT DISTINCT from_id FROM active WHERE from_id IN ('S1', 'S2', 'S3'))",
-    "l1 AS (SELECT to_id AS entity_id, from_id AS parent_id, 1 AS depth, families, degree, confidence, newest FROM arcs WHERE from_id IN (SELECT from_id FROM seeds) AND to_id NOT IN (SELECT from_id FROM seeds) QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY from_id) = 1)",
-    "d1 AS (SELECT *, CASE WHEN degree > 100 THEN 'HUB_CAPPED' WHEN newest < TIMESTAMP '2000-06-01' - INTERVAL 365 DAY THEN 'STALE' WHEN families < 1 THEN 'INSUFFICIENT_INDEPENDENCE' ELSE 'ELIGIBLE' END AS disposition FROM l1)",
-    "l2 AS (SELECT to_id AS entity_id, from_id AS parent_id, 2 AS depth, families, degree, confidence, newest FROM arcs WHERE from_id IN (SELECT entity_id FROM d1 WHERE disposition = 'ELIGIBLE') AND to_id NOT IN (SELECT from_id FROM seeds UNION SELECT entity_id FROM d1) QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY from_id) = 1)",
-    "d2 AS (SELECT *, CASE WHEN degree > 100 THEN 'HUB_CAPPED' WHEN newest < TIMESTAMP '2000-06-01' - INTERVAL 365 DAY THEN 'STALE' WHEN families < 1 THEN 'INSUFFICIENT_INDEPENDENCE' ELSE 'ELIGIBLE' END AS disposition FROM l2)",
-    query="SELECT entity_id, parent_id, depth, families, disposition, CAST(CASE WHEN degree > 100 THEN 0 ELSE floor(confidence / CAST(depth AS DOUBLE) + 0.5) END AS BIGINT) AS score FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2)"))
+FRONTIER = """two AS (SELECT from_id, to_id, family, confidence_bp, valid_from FROM active UNION ALL SELECT to_id, from_id, family, confidence_bp, valid_from FROM active),
+good AS (SELECT two.*, count(*) OVER (PARTITION BY from_id) AS degree FROM two WHERE confidence_bp >= 8400),
+plain AS (SELECT from_id, to_id, count(DISTINCT family) AS families, max(confidence_bp) AS confidence, max(valid_from) AS newest FROM good WHERE degree <= 100 GROUP BY 1, 2),
+hubs AS (SELECT from_id, to_id, row_number() OVER (PARTITION BY from_id ORDER BY confidence_bp DESC, to_id) AS place FROM good WHERE degree > 100),
+arcs AS (SELECT from_id, to_id, families, confidence, newest, place, false AS hub FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS place FROM plain) WHERE place <= 10 UNION ALL SELECT from_id, to_id, 1, NULL, NULL, min(place), true FROM hubs WHERE place <= 10 GROUP BY 1, 2),
+start AS (SELECT DISTINCT from_id FROM two WHERE from_id IN ('S1', 'S2', 'S3') OR regexp_full_match(from_id, 'P[1-9][0-9]?')),
+way1 AS (SELECT arcs.*, 1 AS depth, [from_id, to_id] AS path FROM arcs WHERE from_id IN (FROM start) AND to_id NOT IN (FROM start)),
+first1 AS (SELECT *, row_number() OVER (ORDER BY path, place) AS found FROM (SELECT * FROM way1 QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY path, place) = 1)),
+state1 AS (SELECT *, CASE WHEN hub THEN 'HUB_CAPPED' WHEN newest < TIMESTAMP '2000-06-01' - INTERVAL 800 DAY THEN 'STALE' WHEN families < 2 THEN 'INSUFFICIENT_INDEPENDENCE' WHEN found > 150 THEN 'COMPONENT_CAPPED' ELSE 'ELIGIBLE' END AS disposition FROM first1),
+way2 AS (SELECT arcs.*, 2 AS depth, list_append(s.path, arcs.to_id) AS path FROM arcs JOIN state1 s ON arcs.from_id = s.to_id WHERE s.disposition = 'ELIGIBLE' AND arcs.to_id NOT IN (FROM start)),
+first2 AS (SELECT *, (SELECT count(*) FROM first1) + row_number() OVER (ORDER BY path, place) AS found FROM (SELECT * FROM way2 WHERE to_id NOT IN (SELECT to_id FROM first1) QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY path, place) = 1)),
+state2 AS (SELECT *, CASE WHEN hub THEN 'HUB_CAPPED' WHEN newest < TIMESTAMP '2000-06-01' - INTERVAL 800 DAY THEN 'STALE' WHEN families < 2 THEN 'INSUFFICIENT_INDEPENDENCE' WHEN found > 150 THEN 'COMPONENT_CAPPED' ELSE 'ELIGIBLE' END AS disposition FROM first2),
+lasthub AS (SELECT * FROM (SELECT * FROM way1 UNION ALL SELECT * FROM way2) WHERE hub QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY depth DESC, path DESC, place DESC) = 1)"""
+
+
+@query(sql(EDGES, ACTIVE, FRONTIER, query="""SELECT to_id AS entity_id, coalesce(h.from_id, s.from_id) AS parent_id, coalesce(h.depth, s.depth) AS depth, array_to_string(coalesce(h.path, s.path), '>') AS path, CASE WHEN h.to_id IS NULL THEN s.families ELSE 1 END AS families, CASE WHEN h.to_id IS NULL THEN disposition ELSE 'HUB_CAPPED' END AS disposition,
+CAST(CASE WHEN h.to_id IS NULL AND disposition = 'ELIGIBLE' THEN floor(s.confidence / CAST(s.depth AS DOUBLE) + 0.5) ELSE 0 END AS BIGINT) AS score FROM (SELECT * FROM state1 UNION ALL SELECT * FROM state2) s LEFT JOIN lasthub h USING (to_id)"""))
 def q48_bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = G.active_edges(edges(spark, sf_dir), "2000-06-01")
     two = a.unionByName(a.withColumns({"from_id": c("to_id"), "to_id": c("from_id")}))
-    seeds = a.where("from_id IN ('S1', 'S2', 'S3')").select(c("from_id").alias("entity_id"))
-    return G.bounded_frontier(seeds, two, "2000-06-01", least_bp=8400)
+    seeds = two.where("from_id IN ('S1', 'S2', 'S3') OR from_id RLIKE '^P[1-9][0-9]?$'").select(c("from_id").alias("entity_id"))
+    return G.bounded_frontier(seeds, two, "2000-06-01", least_bp=8400, component=150, fresh_days=800, families=2)
 
 
 @query("""WITH RECURSIVE links AS (SELECT n_nationkey // 2 AS parent, n_nationkey AS child FROM nation WHERE n_nationkey > 0), paths AS (SELECT parent AS ancestor, child AS descendant, 1 AS depth FROM links UNION ALL SELECT ancestor, child, depth + 1 FROM paths JOIN links ON parent = descendant WHERE depth < 8)
@@ -248,7 +256,10 @@ def q49c_lineage_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resolve_lineage(table(spark, sf_dir, "customer").select("c_custkey", c("c_nationkey").alias("k")), parents, "k").select("c_custkey", "parent", "resolution")
 
 
-@query()
+SEAL = " || ".join(f"coalesce(CAST({x} AS VARCHAR), chr(0)) || chr(31)" for x in ("assertion", "confidence_bp", "edge_id", "family", "from_id", "observed_at", "to_id", "valid_from", "valid_until"))
+
+
+@query(sql(EDGES, ACTIVE, query=f"SELECT family, count(*) AS rows, CAST(sum(h) AS VARCHAR) AS digest, bit_xor(h) AS parity FROM (SELECT family, CAST('0x' || substr(sha256({SEAL}), 1, 15) AS BIGINT) AS h FROM active) GROUP BY 1"))
 def q49d_sealed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.sealed(G.active_edges(edges(spark, sf_dir), "2000-06-01"), ["family"])
 

@@ -29,7 +29,10 @@ def s02_retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.drained(J.retries(e))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, strftime(ts, '%Y-%m-%d') AS day, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, day, n, value <= 60 AS granted, CASE WHEN value <= 60 THEN value ELSE CAST(0 AS DOUBLE) END AS used FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, day, n, before + value <= 60, before + CASE WHEN before + value <= 60 THEN value ELSE CAST(0 AS DOUBLE) END FROM (SELECT e.*, CASE WHEN e.day = r.day THEN r.used ELSE CAST(0 AS DOUBLE) END AS before FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id AS key_id, event_id AS seq, granted, round(used, 6) AS used FROM r""")
 def s03_quota_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = J.event_stream(spark, sf_dir).select(c("user_id").alias("key_id"), c("event_id").alias("seq"), F.to_date("ts").cast("string").alias("day"), c("value").alias("units"))
     return J.drained(J.quota_grants(e, 60.0))

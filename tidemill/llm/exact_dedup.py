@@ -193,26 +193,36 @@ def _order(text: str = "text") -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), (-F.length(text_or_empty(text))).alias("brevity"), F.col("doc_id").alias("doc_id"), F.sha2(text_or_empty(text), 256).alias("own"))
 
 
+def _digest(x) -> Column:
+    """The 32 bytes of a text's sha256."""
+    return F.unhex(F.sha2(x, 256))
+
+
 def _groups(docs: DataFrame, hot: DataFrame) -> DataFrame:
     """Groups of equal texts, by their very bytes, among rows of a repeated fingerprint: _sha, the row that stays, _size."""
     routed = docs.select("doc_id", normalised().alias("_norm"), _order().alias("_order")).withColumn("_fp", F.xxhash64("_norm"))
     routed = routed.join(bounded(hot.select(F.col("fp").alias("_fp")), hot), "_fp")
     groups = routed.groupBy("_norm").agg(F.count("*").alias("_size"), F.min("_order").alias("_first")).where("_size > 1")
-    return groups.select(F.sha2("_norm", 256).alias("_sha"), F.col("_first.doc_id").alias("_first"), F.col("_first.own").alias("_own"), "_size", F.col("_size").alias("n"))
+    return groups.select(_digest("_norm").alias("_sha"), F.col("_first.doc_id").alias("_first"), F.unhex("_first.own").alias("_own"), "_size", F.col("_size").alias("n"))
 
 
 def _decided(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _row (all columns), _sha, _keep, _size and _best: whether the row is like the one that stays."""
+    """doc_id, _row (all columns), _sha, _keep, _size and _best: whether the row is like the one that stays.
+
+    Where groups are too many to be broadcast, rows move with digests in place of the text, unless _row is asked for.
+    """
     docs = docs.select("doc_id", "text", F.struct("*").alias("_row"))
     fp = F.xxhash64(normalised())
     with scratch() as keep:
         hot = keep(materialise(repeated_fingerprints(docs.select(fp.alias("_fp"))), "fingerprints"))
         groups = materialise(_groups(docs, hot), "copies")
-    out = dealt_join(docs.withColumn("_sha", F.sha2(normalised(), 256)), groups, "_sha", "left")
+    own = docs.select("doc_id", "_row", _digest(normalised()).alias("_sha"), _digest(text_or_empty()).alias("_self"))
+    few = bounded(groups)
+    out = dealt_join(own, groups, "_sha", "left") if few is groups else own.join(few.drop("n"), "_sha", "left")
     copy = F.col("_size").isNotNull()
-    best = F.col("_first").eqNullSafe(F.col("doc_id")) & (F.sha2(text_or_empty(), 256) == F.col("_own"))
+    best = F.col("_first").eqNullSafe(F.col("doc_id")) & (F.col("_self") == F.col("_own"))
     out = out.withColumns({"_keep": F.when(copy, F.col("_first")).otherwise(F.col("doc_id")), "_best": F.when(copy, best).otherwise(F.lit(True))})
-    return out.withColumn("_size", F.coalesce("_size", F.lit(1)).cast("long")).drop("_first", "_own")
+    return out.withColumn("_size", F.coalesce("_size", F.lit(1)).cast("long")).drop("_first", "_own", "_self")
 
 
 def classify(docs: DataFrame) -> DataFrame:
@@ -224,7 +234,7 @@ def classify(docs: DataFrame) -> DataFrame:
     has one row that is kept. A null doc_id loses to any other; in a group with null ids only, keep_id is null.
     An empty table gives no rows. Other columns of docs are not looked at.
     """
-    out = _decided(docs).select("doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_best").alias("kept"), F.col("_sha").alias("text_sha256"))
+    out = _decided(docs).select("doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_best").alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
     if not repeats_ids(docs, nulls=True):
         return out
     # Rows that are alike in doc_id and text are counted, and the first of them is kept.

@@ -67,6 +67,14 @@ def test_exact_one_row_of_each_group(spark):
     assert [tuple(r) for r in exact_dedup.deduplicate(frame(spark, low)).select("doc_id", "text").collect()] == [(-(2**63), "x y")]
 
 
+def test_exact_by_shuffle_as_by_broadcast(spark, monkeypatch):
+    rows = [(i, "x" * (i % 7) + " " * (i % 5)) for i in range(200)] + [(None, "xx"), (3, "x xx"), (500, None)]
+    few = sorted(map(str, exact_dedup.classify(frame(spark, rows)).collect()))
+    monkeypatch.setattr("tidemill.llm.common.BROADCAST_BYTES", 0)
+    assert sorted(map(str, exact_dedup.classify(frame(spark, rows)).collect())) == few
+    assert exact_dedup.deduplicate(frame(spark, rows)).count() == 7
+
+
 def test_filter_slots():
     """The slots are those of a filter that takes one fingerprint after another by linear probing."""
     rng = np.random.default_rng(9)

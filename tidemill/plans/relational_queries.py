@@ -221,10 +221,10 @@ arcs AS (SELECT from_id, to_id, families, confidence, newest, place, false AS hu
 start AS (SELECT DISTINCT from_id FROM two WHERE from_id IN ('S1', 'S2', 'S3') OR regexp_full_match(from_id, 'P[1-9][0-9]?')),
 way1 AS (SELECT arcs.*, 1 AS depth, [from_id, to_id] AS path FROM arcs WHERE from_id IN (FROM start) AND to_id NOT IN (FROM start)),
 first1 AS (SELECT *, row_number() OVER (ORDER BY path, place) AS found FROM (SELECT * FROM way1 QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY path, place) = 1)),
-state1 AS (SELECT *, CASE WHEN hub THEN 'HUB_CAPPED' WHEN newest < TIMESTAMP '2000-06-01' - INTERVAL 800 DAY THEN 'STALE' WHEN families < 2 THEN 'INSUFFICIENT_INDEPENDENCE' WHEN found > 150 THEN 'COMPONENT_CAPPED' ELSE 'ELIGIBLE' END AS disposition FROM first1),
+state1 AS (SELECT *, CASE WHEN hub THEN 'HUB_CAPPED' WHEN newest < TIMESTAMP '2000-06-01' - INTERVAL 800 DAY THEN 'STALE' WHEN families < 1 THEN 'INSUFFICIENT_INDEPENDENCE' WHEN found > 50 THEN 'COMPONENT_CAPPED' ELSE 'ELIGIBLE' END AS disposition FROM first1),
 way2 AS (SELECT arcs.*, 2 AS depth, list_append(s.path, arcs.to_id) AS path FROM arcs JOIN state1 s ON arcs.from_id = s.to_id WHERE s.disposition = 'ELIGIBLE' AND arcs.to_id NOT IN (FROM start)),
 first2 AS (SELECT *, (SELECT count(*) FROM first1) + row_number() OVER (ORDER BY path, place) AS found FROM (SELECT * FROM way2 WHERE to_id NOT IN (SELECT to_id FROM first1) QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY path, place) = 1)),
-state2 AS (SELECT *, CASE WHEN hub THEN 'HUB_CAPPED' WHEN newest < TIMESTAMP '2000-06-01' - INTERVAL 800 DAY THEN 'STALE' WHEN families < 2 THEN 'INSUFFICIENT_INDEPENDENCE' WHEN found > 150 THEN 'COMPONENT_CAPPED' ELSE 'ELIGIBLE' END AS disposition FROM first2),
+state2 AS (SELECT *, CASE WHEN hub THEN 'HUB_CAPPED' WHEN newest < TIMESTAMP '2000-06-01' - INTERVAL 800 DAY THEN 'STALE' WHEN families < 1 THEN 'INSUFFICIENT_INDEPENDENCE' WHEN found > 50 THEN 'COMPONENT_CAPPED' ELSE 'ELIGIBLE' END AS disposition FROM first2),
 lasthub AS (SELECT * FROM (SELECT * FROM way1 UNION ALL SELECT * FROM way2) WHERE hub QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY depth DESC, path DESC, place DESC) = 1)"""
 
 
@@ -234,7 +234,7 @@ def q48_bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = G.active_edges(edges(spark, sf_dir), "2000-06-01")
     two = a.unionByName(a.withColumns({"from_id": c("to_id"), "to_id": c("from_id")}))
     seeds = two.where("from_id IN ('S1', 'S2', 'S3') OR from_id RLIKE '^P[1-9][0-9]?$'").select(c("from_id").alias("entity_id"))
-    return G.bounded_frontier(seeds, two, "2000-06-01", least_bp=8400, component=150, fresh_days=800, families=2)
+    return G.bounded_frontier(seeds, two, "2000-06-01", least_bp=8400, component=50, fresh_days=800)
 
 
 @query("""WITH RECURSIVE links AS (SELECT n_nationkey // 2 AS parent, n_nationkey AS child FROM nation WHERE n_nationkey > 0), paths AS (SELECT parent AS ancestor, child AS descendant, 1 AS depth FROM links UNION ALL SELECT ancestor, child, depth + 1 FROM paths JOIN links ON parent = descendant WHERE depth < 8)

@@ -207,6 +207,24 @@ def test_concepts_follow_merges(spark):
     assert {r.concept: r.canonical for r in got.collect()} == want and want["a"] == "z"
 
 
+def test_long_histories_of_concepts_take_few_jobs(spark):
+    rng = random.Random(5)
+    ev = [(k // 2, rng.choice(["MERGED", "SPLIT", "CORRECTION", None]), rng.randrange(5), rng.choice([0, 1, 2, 3, 4, None]), rng.randrange(5)) for k in range(160)]
+    want = []
+    for concept in (0, 1, 2, 3, 4, 4, 9, None):
+        now = concept
+        for seq in range(80):  # of events with one seq the least target
+            now = min((t for s, kind, source, t, split in ev if s == seq and t is not None and (split == now and t == concept if kind == "SPLIT" else source == now)), default=now)
+        want.append((concept, now))
+    spark.sparkContext.setJobGroup("concepts", "")
+    names = spark.createDataFrame([(x,) for x, _ in want], "concept int")
+    got = D.project_concept(names, spark.createDataFrame(ev, "seq long, kind string, source int, target int, split_from int")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("concepts"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert 0 < jobs < 8
+
+
 def test_retry_backoff(spark):
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     df = spark.createDataFrame([(True, 1, 0.0, None), (True, 3, 0.0, None), (True, 9, 0.0, None), (True, 1, 7.0, None), (False, 1, 0.0, None)], "transient boolean, n int, age double, at timestamp")

@@ -48,6 +48,17 @@ def test_asof_joins(spark):
     assert R.asof_forward(left, right, "k", "t", "rt", "2024-01-02", "v").where("next_v IS NOT NULL").count() == 0
 
 
+def test_forward_asof_reads_a_key_once(spark):
+    rng = random.Random(3)
+    left = [(n, rng.randrange(3), rng.randrange(40)) for n in range(80)]
+    right = [(rng.randrange(3), rng.randrange(30), rng.randrange(40)) for _ in range(120)]
+    at = c("t").cast("timestamp")
+    df = R.asof_forward(spark.createDataFrame(left, "id int, k int, t long").withColumn("t", at), spark.createDataFrame(right, "k int, v int, t long").select("k", "v", at.alias("rt")), "k", "t", "rt", "1970-01-01 00:00:30", "v")
+    want = {n: min(((x, v) for j, v, x in right if j == k and t <= x < 30), default=(0, None))[1] for n, k, t in left}
+    assert {r.id: r.next_v for r in df.collect()} == want and None in want.values()
+    assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()  # such a frame is read again for every row
+
+
 def test_sets(spark):
     df = spark.createDataFrame([([1, 2], [2, 3]), ([], []), ([1], [])], "a array<int>, b array<int>")
     got = [tuple(r) for r in df.select(R.jaccard(c("a"), c("b")), R.containment(c("a"), c("b"))).collect()]

@@ -88,12 +88,15 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, r
 
 
 def asof_forward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, until, value: str) -> DataFrame:
-    """J07. Adds the value of the first right row of the key at or after the left row's time and before `until`."""
+    """J07. Adds the value of the first right row of the key at or after the left row's time and before `until`.
+
+    The run of a key goes backwards: a frame from the current row to the end would be read again for every row.
+    """
     a = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.col(left_time).alias("_t"), F.lit(0).alias("_side"))
     b = right.where(F.col(right_time) < F.lit(until).cast("timestamp")).select(key, F.col(value).alias("_v"), F.col(right_time).alias("_t"), F.lit(1).alias("_side"))
-    w = Window.partitionBy(key).orderBy("_t", "_side", "_v").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True)
-    out = both.withColumn("_next", F.first(F.when(F.col("_side") == 1, F.struct("_v")), ignorenulls=True).over(w)["_v"])
+    out = both.withColumn("_next", F.last(F.when(F.col("_side") == 1, F.struct("_v")), ignorenulls=True).over(w)["_v"])
     return out.where("_side = 0").drop("_v", "_t", "_side").withColumnRenamed("_next", f"next_{value}")
 
 

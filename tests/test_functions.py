@@ -109,6 +109,18 @@ def test_composed_and_decomposed_hash_alike(spark):
     assert len(got) == 2 and got[0].occurrence_key == got[1].occurrence_key
 
 
+def test_counted_spans_move_texts_and_not_spans(spark):
+    odd = ["", None, "one", "Ab  c\n\td's e.f-g \u00a0 h. I", "ΑΣ ΣΑ ΑΣ. x", "İx ǅ y", "ﬁne ½ Ⅷ ´ x", "café café CAFÉ", "漢字 かな \U0001f600 z \x1c\x85 q", "a b a b a b a b", "été\u2003 Été  été", "x" * 70 + " é " * 3]
+    rows = [(k % 9 if k % 5 else None, t) for k, t in enumerate(odd * 2)] + [(100 + k, " ".join(chr(97 + (j * k) % 26) * (1 + j % 3) for j in range(60))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    s = text.spans(docs)
+    want = s.groupBy("doc_id", "ngram_size").agg(F.count("*").alias("spans"), F.countDistinct("normalized").alias("distinct_spans"), F.max("end_offset").alias("last_offset"), F.bit_xor(F.xxhash64("occurrence_key")).alias("digest"))
+    got = text.span_counts(docs)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("MapInArrow") < plan.rindex("Exchange")  # what is moved is what the spans are made of
+
+
 def test_addresses(spark):
     page = 'see https://A.example/x). and http:\\/\\/b.example\\/y "https://c.example/p.png?v=1" https%3A%2F%2Fd.example https://A.example/x <https://skip.example/z>'
     got = values(spark, [(page,), (None,)], "s string", address.extract("s", ("skip.example",)))

@@ -7,6 +7,7 @@ import re
 import unicodedata
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,6 +84,119 @@ def spans(docs: DataFrame, most: int = 5, version: str = "v1") -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, literal string, normalized string, start_offset int, end_offset int, ngram_size int, occurrence_key string")
 
 
+def _xxhash64(hexes: bytes) -> np.ndarray:
+    """xxhash64 of Spark (seed 42) of strings of 64 bytes that stand one after the other."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    seed = 42
+    lanes = np.frombuffer(hexes, "<u8").reshape(-1, 8)
+    with np.errstate(over="ignore"):
+        starts = [np.uint64((seed + x) % 2**64) for x in (int(p1) + int(p2), int(p2), 0, -int(p1))]
+        v = [turn(turn(s + lanes[:, k] * p2, 31) * p1 + lanes[:, k + 4] * p2, 31) * p1 for k, s in enumerate(starts)]
+        h = turn(v[0], 1) + turn(v[1], 7) + turn(v[2], 12) + turn(v[3], 18)
+        for x in v:
+            h = (h ^ (turn(x * p2, 31) * p1)) * p1 + p4
+        h = h + np.uint64(64)
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+
+def _canonical(nfc: str, at: list[tuple[int, int]], pattern) -> tuple[bytes, list[int], list[int]] | None:
+    """A text whose slices from word to word are the normal forms of the spans, in UTF-8, and the words' starts and ends in it; None where spans have to be normalised one by one."""
+    if nfc.isascii():
+        low = nfc.lower()
+    else:
+        low = nfc.lower() if unicodedata.is_normalized("NFKC", nfc) else ""
+        if len(low) != len(nfc) or "Σ" in nfc:  # a capital whose small letter depends on what follows, or is longer
+            return None
+    flat = re.sub(r"\s+", " ", low)
+    if len(flat) != len(low):
+        low = flat
+        at = [m.span() for m in pattern.finditer(low)]
+    flat = flat.encode()
+    if len(flat) == len(low):
+        return flat, [a for a, _ in at], [z for _, z in at]
+    starts, ends, done, size = [], [], 0, 0
+    for a, z in at:
+        size += len(low[done:a].encode())
+        starts.append(size)
+        size += len(low[a:z].encode())
+        ends.append(size)
+        done = z
+    return flat, starts, ends
+
+
+def span_counts(docs: DataFrame, most: int = 5, version: str = "v1") -> DataFrame:
+    """spans() counted by doc_id and ngram_size: spans, distinct_spans (normalized), last_offset, digest (xxhash64 of occurrence_key, by xor).
+
+    Texts are moved once, by doc_id, instead of their spans, which are many times as large; a doc_id's distinct spans are held in one task.
+    """
+    import regex
+
+    pattern = regex.compile(WORD)
+    few = [chr(k) for k in range(0x300)]  # re is several times as fast, but does not know the classes
+    first = "".join(re.escape(x) for x in few if pattern.match(x))
+    later = "".join(re.escape(x) for x in [*few, "’"] if pattern.fullmatch("a" + x))
+    plain, beyond = re.compile(f"[{first}][{later}]*"), re.compile("[^\u0000-\u02ff’]")
+
+    def of_text(text):
+        """For each size: the spans' normal forms in UTF-8, their last offset, their digest."""
+        nfc = unicodedata.normalize("NFC", text or "")
+        at = [m.span() for m in (pattern if beyond.search(nfc) else plain).finditer(nfc)]
+        head = f"{hashlib.sha256(nfc.encode()).hexdigest()}|{version}|"
+        froms, tos = [f"{head}{a}|".encode() for a, _ in at], [f"{z}|".encode() for _, z in at]
+        known = _canonical(nfc, at, pattern)
+        if known and len(known[1]) != len(at):
+            known = None
+        keys, sizes = [], []
+        for n in range(1, min(most, len(at)) + 1):
+            if known:
+                flat, starts, ends = known
+                forms = [flat[a:z] for a, z in zip(starts, ends[n - 1 :], strict=False)]
+            else:
+                forms = [re.sub(r"\s+", " ", unicodedata.normalize("NFKC", nfc[a:z]).lower()).strip().encode() for (a, _), (_, z) in zip(at, at[n - 1 :], strict=False)]
+            keys += [hashlib.sha256(a + z + form).digest() for a, z, form in zip(froms, tos[n - 1 :], forms, strict=False)]
+            sizes.append((n, forms))
+        if sizes:
+            starts = np.cumsum([0, *(len(forms) for _, forms in sizes[:-1])])
+            digests = np.bitwise_xor.reduceat(_xxhash64(b"".join(keys).hex().encode()), starts).tolist()
+            yield from ((n, forms, at[-1][1], digest) for (n, forms), digest in zip(sizes, digests, strict=True))
+
+    schema = pa.schema([("doc_id", pa.int64()), ("ngram_size", pa.int32()), ("spans", pa.int64()), ("distinct_spans", pa.int64()), ("last_offset", pa.int32()), ("digest", pa.int64())])
+
+    def run(batches):
+        rows, found, now = [], {}, None
+
+        def close():
+            for n, (count, distinct, last, digest) in found.items():
+                rows.append((now, n, count, len(distinct), last, digest - 2**64 if digest >= 2**63 else digest))
+            found.clear()
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            rows.clear()
+            return batch
+
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if doc_id != now:
+                    close()
+                    now = doc_id
+                for n, forms, last, digest in of_text(text):
+                    count, distinct, end, key = found.get(n, (0, set(), 0, 0))
+                    distinct.update(forms)
+                    found[n] = count + len(forms), distinct, max(end, last), key ^ digest
+            if rows:
+                yield out()
+        close()
+        if rows:
+            yield out()
+
+    d = docs.select("doc_id", "text").repartition("doc_id").sortWithinPartitions("doc_id")
+    return d.mapInArrow(run, "doc_id long, ngram_size int, spans long, distinct_spans long, last_offset int, digest long")
+
+
 def script(x) -> Column:
     """The first script of the list that the value has a character of, else Zyyy."""
     return reduce(lambda c, s: c.when(col(x).rlike(s[1]), s[0]), SCRIPTS[1:], F.when(col(x).rlike(SCRIPTS[0][1]), SCRIPTS[0][0])).otherwise("Zyyy")

@@ -288,3 +288,22 @@ def test_continuation_streaks(spark):
     rows = [(1, p, *(low if p in (2, 3, 5) else high), 1, 1) for p in range(1, 7)]
     df = spark.createDataFrame(rows, "key int, page int, qy double, cy double, nov double, cp double, div double, dup double, nt double, confirmed int, new int")
     assert [r.streak for r in D.continuation(df).orderBy("page").collect()] == [0, 1, 2, 0, 1, 0]
+
+
+def test_packed_runs_count_as_rows_do(spark, monkeypatch):
+    from tidemill.operators import corpus as C
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["a", "b", "cé", "d.e", "12", "from", "g", "ΑΣ", "h", "\U00010400x"]) + rng.choice(["", "", "", "!", "\n"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + ["", None, "only", "x y z w v u t s r"]
+    rows = [(k, t, rng.choice(["p", "q", "r", None]), rng.randrange(3), rng.choice([0, 1, None]), rng.choice(["en", "de", None])) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc long, text string, creator string, community int, family int, language string").repartition(3)
+    monkeypatch.setattr(C, "CHUNK", 90)
+    for got, want in (
+        (C.mine_texts(docs), C.mine(C.tokens(docs, most=2, pattern=C.SURFACE))),
+        (C.hypotheses_of_texts(docs), C.hypotheses(C.tokens(docs, most=4))),
+        (C.hypotheses_of_texts(docs, 5, 0, 1), C.hypotheses(C.tokens(docs, most=5), 0, 1)),
+    ):
+        rows = sorted(map(tuple, want.select(got.columns).collect()), key=str)
+        assert rows and sorted(map(tuple, got.collect()), key=str) == rows and got.dtypes == want.select(got.columns).dtypes
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan  # no run is a row before it is moved

@@ -149,7 +149,7 @@ def language_packs(docs: DataFrame, packs: DataFrame) -> DataFrame:
 
 
 #: Words that are counted at once before they are packed, and buckets for each shuffle partition.
-CHUNK, BUCKETS = 2_500_000, 16
+CHUNK, BUCKETS = 1_200_000, 8
 
 
 def _put(*columns) -> bytes:
@@ -165,7 +165,7 @@ def _put(*columns) -> bytes:
             parts.append(b"by")
         parts += [len(x).to_bytes(4, "little"), x]
     raw = b"".join(parts)
-    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _take(blob: bytes) -> list:
@@ -246,9 +246,13 @@ def _pack(words: pa.Array, attributes: list[pa.Array], most: int, buckets: int):
         spots.append((mix % np.uint64(buckets)).astype(np.int64))
         more.append(np.stack([shorter, codes[0][doc[first]]]))
         base += len(first)
+        del own, g, d, mine, number, at, mix, parts
     spot, more, docs, entries = np.concatenate(spots), np.concatenate(more, axis=1), np.concatenate(docs), [np.concatenate(e, axis=1) for e in entries]
+    del levels, run, times
     order = np.argsort(spot, kind="stable")
-    text = pa.chunked_array(texts).combine_chunks().take(pa.array(order))
+    text = pa.chunked_array(texts).combine_chunks()
+    del texts
+    text = text.take(pa.array(order))
     offsets = np.frombuffer(text.buffers()[1], "<i8")[text.offset : text.offset + len(text) + 1]
     data = text.buffers()[2].to_pybytes()
     counts = [np.bincount(e[0], minlength=base) for e in entries]
